@@ -5,8 +5,8 @@ shuffled and memory follows the block. Whole windows of a long document become
 sequences of their own. The rests of a block are dealt to k windows by largest
 differencing: the two partial partitions with the largest imbalance are merged,
 fullest part with emptiest, until one is left; its windows are near-equal. k
-starts at the least possible number and rises while a window exceeds the
-capacity. Near-equal windows all keep a little room, so in the end the emptiest
+starts at the least possible number and rises, by one in 64, while a window
+exceeds the capacity. Near-equal windows all keep a little room, so in the end the emptiest
 ones are cut to fill the fullest, and the block's last part is written as
 sequences whose lengths are powers of two: a block has no padding.
 """
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from . import common
 from .word_bpe import word_bpe
 
-CAPACITY, END_ID, BLOCK = 2048, 1, 1024
+CAPACITY, END_ID, BLOCK = 2048, 1, 512
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
@@ -74,10 +74,9 @@ def windows(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
     k = -(-total // capacity)
     while k:
         found = differencing(sizes, k)
-        excess = sum(max(0, sum(sizes[n] for n in w) - capacity) for w in found)
-        if not excess:
+        if all(sum(sizes[n] for n in w) <= capacity for w in found):
             return found
-        k += max(1, excess // (2 * capacity))
+        k += 1 + k // 64
     return []
 
 
