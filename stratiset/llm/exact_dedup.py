@@ -31,6 +31,8 @@ STREAM_CONF = {
     "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "300",
+    # each store would otherwise reserve 4 MB for its manifest alone
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 
