@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, packing, simhash, token_count, url_filter
+from . import exact_dedup, packing, secret_scan, simhash, token_count, url_filter
 from .common import documents
 
 
@@ -29,6 +29,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(documents(spark, sf_dir))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicate(documents(spark, sf_dir))
 
@@ -42,6 +46,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_packing": op1_packing,
         "op2_simhash_near_dedup": op2_simhash_near_dedup,
         "op3_token_counts": op3_token_counts,
+        "op8_secret_scan": op8_secret_scan,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_url_filter": op10_url_filter,
     }
