@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, langid, packing, quality, secret_scan, simhash, token_count, toxicity, url_filter
+from . import exact_dedup, langid, packing, piece_codec, quality, secret_scan, simhash, token_count, toxicity, url_filter
 from .common import documents
 
 
@@ -33,6 +33,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents(spark, sf_dir))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codec.encode(documents(spark, sf_dir), tokenizer_file("piece_bpe_32k.model"), with_ids=False)
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -59,6 +63,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_simhash_near_dedup": op2_simhash_near_dedup,
         "op3_token_counts": op3_token_counts,
         "op4_language_id": op4_language_id,
+        "op5_sentencepiece": op5_sentencepiece,
         "op6_toxicity": op6_toxicity,
         "op7_quality_rules": op7_quality_rules,
         "op8_secret_scan": op8_secret_scan,
