@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sets import ratio
@@ -77,9 +77,7 @@ def handle_cardinalities(posting: DataFrame) -> DataFrame:
 
 
 def list_audit(lists: DataFrame, key: str, order: str, value: str) -> DataFrame:
-    """Per list, in its stored order: is_unsorted (any descent) and n_adjacent_repeats."""
-    from pyspark.sql import Window
-
-    before = F.lag(value).over(Window.partitionBy(key).orderBy(order))
+    """Per list, in its stored order (equal places by value): is_unsorted (any descent) and n_adjacent_repeats."""
+    before = F.lag(value).over(Window.partitionBy(key).orderBy(order, value))
     rows = lists.select(key, F.col(value).alias("v"), before.alias("b"))
     return rows.groupBy(key).agg(F.coalesce(F.max(F.col("v") < F.col("b")), F.lit(False)).alias("is_unsorted"), F.count_if(F.col("v") == F.col("b")).alias("n_adjacent_repeats"))
