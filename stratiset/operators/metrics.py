@@ -16,11 +16,14 @@ from pyspark.sql import functions as F
 from . import ordering
 
 
-def reduced_nodes(sets: Iterable[Iterable[int]], descending: bool = True) -> int:
-    """Nodes of the reduced zero-suppressed diagram of a family whose root has the largest item (or the smallest)."""
+def reduced_diagram(sets: Iterable[Iterable[int]], descending: bool = True) -> list[tuple[int, int, int, int]]:
+    """Nodes (id, item, high, low) of the reduced zero-suppressed diagram of a family whose root has the largest item (or the smallest).
+
+    0 and 1 are the ends; ids follow from 2, so that a node comes after those it points to.
+    """
     rows = sorted({tuple(sorted(set(s), reverse=descending)) for s in sets}, key=lambda r: tuple(-x for x in r) if descending else r)
     unique: dict[tuple[int, int, int], int] = {}
-    sys.setrecursionlimit(max(sys.getrecursionlimit(), 10_000))
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), max(map(len, rows), default=0) + 1_000))
 
     def build(lo: int, hi: int, depth: int) -> int:
         # rows lo..hi share their first items; those that end here come first in order
@@ -39,7 +42,24 @@ def reduced_nodes(sets: Iterable[Iterable[int]], descending: bool = True) -> int
         return low
 
     build(0, len(rows), 0)
-    return len(unique)
+    return [(number, *node) for node, number in unique.items()]
+
+
+def reduced_nodes(sets: Iterable[Iterable[int]], descending: bool = True) -> int:
+    """How many nodes that diagram has."""
+    return len(reduced_diagram(sets, descending))
+
+
+def diagrams(sets: DataFrame, key: str, column: str, descending: bool = True) -> DataFrame:
+    """(key, id, item, high, low): the nodes of each key's reduced diagram. A key's distinct sets are worked on together."""
+
+    def nodes(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = pd.DataFrame(reduced_diagram(pdf[column], descending), columns=["id", "item", "high", "low"])
+        found.insert(0, key, pdf[key].iloc[0])
+        return found
+
+    kind = dict(sets.dtypes)[key]
+    return sets.select(key, column).distinct().groupBy(key).applyInPandas(nodes, f"`{key}` {kind}, id bigint, item bigint, high bigint, low bigint")
 
 
 def family_nodes(sets: DataFrame, key: str, column: str, descending: bool = True) -> DataFrame:

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import packing as P
@@ -12,21 +9,13 @@ from ..functions import sets as S
 from ..functions import text as T
 from ..operators import checks, families, identifiers, metrics, pools, sampling, search, timeline, versions
 from ..streaming import family_union as streaming_union
+from . import files as _files  # noqa: F401  (adds its queries)
 from . import tables as t
+from .found import FOUND, Query, query
 
-Query = Callable[[SparkSession, str], DataFrame]
-FOUND: dict[str, tuple[Query, str | None]] = {}
 MIN_SIZE, AT_VERSION, CUT_BYTES, BRANCH_AT, BRANCH_SET = 4, 3, 20_000, 4, [1, 2, 5]
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        FOUND[f.__name__] = (f, sql)
-        return f
-
-    return add
-
-
 def queries() -> dict[str, Query]:
     return {k: f for k, (f, _) in FOUND.items()}
 
@@ -36,7 +25,9 @@ def oracle_sql() -> dict[str, str]:
 
 
 col, joined = F.col, S.joined
-_packed = P.pack(col("master"), col("rel"))
+def _packed():
+    return P.pack(col("master"), col("rel"))
+
 
 
 # numbers for pairs, translation of ids
@@ -44,12 +35,12 @@ _packed = P.pack(col("master"), col("rel"))
 
 @query(t.sql("li", body="SELECT term, master, rel, ((master << 24) | rel)::BIGINT AS packed FROM li"))
 def c1_pack(spark, d):
-    return t.li(spark, d).withColumn("packed", _packed)
+    return t.li(spark, d).withColumn("packed", _packed())
 
 
 @query(t.sql("li", body="SELECT term, ((master << 24) | rel)::BIGINT AS packed, master, rel FROM li"))
 def c2_unpack(spark, d):
-    rows = t.li(spark, d).select("term", _packed.alias("packed"))
+    rows = t.li(spark, d).select("term", _packed().alias("packed"))
     return rows.select("term", "packed", P.master_of(col("packed")).alias("master"), P.rel_of(col("packed")).alias("rel"))
 
 
@@ -102,7 +93,7 @@ def e15_sampling_summary(spark, d):
 
 @query(t.sql("li", body="SELECT count(*) AS n_values, count(*) FILTER (((master << 24) | rel) + 1 > 2147483647) AS n_skipped, count(*) FILTER (((master << 24) | rel) + 1 <= 2147483647) AS n_in_range FROM li"))
 def c8_level_audit(spark, d):
-    over = _packed + 1 > 2147483647
+    over = _packed() + 1 > 2147483647
     return t.li(spark, d).agg(F.count("*").alias("n_values"), F.count_if(over).alias("n_skipped"), F.count_if(~over).alias("n_in_range"))
 
 
