@@ -111,13 +111,16 @@ def bin_of(model: DataFrame, df: DataFrame) -> DataFrame:
 def _threshold(bins: DataFrame) -> DataFrame:
     """One row: the bin from which on URLs are allowed; the best mean of both classes' hit rates.
 
-    Ties: the threshold nearest to 0, then the lower one; 0 if a class is missing.
+    All thresholds between two neighbouring bins that occur are alike; the one
+    nearest to 0 stands for them. Ties: the nearest to 0, then the lower one; 0 if
+    a class is missing.
     """
     counted = bins.groupBy("bin").agg(F.count_if("allowed").alias("a"), F.count_if(~F.col("allowed")).alias("r"))  # at most 2 * END + 1 rows
     steps = counted.withColumn("all_a", F.expr("sum(a) over ()")).withColumn("all_r", F.expr("sum(r) over ()"))
     steps = steps.withColumn("good", (F.col("all_a") - F.expr("sum(a) over (order by bin rows between unbounded preceding and current row)") + F.col("a")) * F.col("all_r") + (F.expr("sum(r) over (order by bin rows between unbounded preceding and current row)") - F.col("r")) * F.col("all_a"))
-    best = steps.filter("all_a > 0 AND all_r > 0").agg(F.max(F.struct("good", -F.abs("bin"), -F.col("bin"))).alias("best"))
-    return best.select(F.coalesce(-F.col("best.col3"), F.lit(0)).alias("least"))
+    steps = steps.withColumn("at", F.greatest(F.expr(f"coalesce(lag(bin) over (order by bin), {-END} - 1) + 1"), F.least(F.lit(0), "bin")))
+    best = steps.filter("all_a > 0 AND all_r > 0").agg(F.max(F.struct("good", (-F.abs("at")).alias("near"), (-F.col("at")).alias("low"))).alias("best"))
+    return best.select(F.coalesce(-F.col("best.low"), F.lit(0)).alias("least"))
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES) -> DataFrame:
@@ -178,8 +181,8 @@ WITH base AS (
 ), mean AS (SELECT row_no, greatest(-{END}, least({END}, floor(sum(ratio)::DOUBLE / (count(*) * {BIN}))))::BIGINT AS bin FROM grams JOIN ratio USING (a, b, c) GROUP BY row_no
 ), binned AS (SELECT judged.*, coalesce(bin, 0) AS bin FROM judged LEFT JOIN mean USING (row_no)
 ), seen AS (SELECT bin, count(*) FILTER (fixed = 'allow') AS a, count(*) FILTER (fixed = 'block') AS r FROM binned WHERE fixed IS NOT NULL AND held GROUP BY bin
-), good AS (SELECT t.bin, sum(CASE WHEN s.bin >= t.bin THEN s.a ELSE 0 END) * sum(s.r) + sum(CASE WHEN s.bin < t.bin THEN s.r ELSE 0 END) * sum(s.a) AS good, sum(s.a) AS all_a, sum(s.r) AS all_r FROM seen t, seen s GROUP BY t.bin
-), best AS (SELECT coalesce((SELECT bin FROM good WHERE all_a > 0 AND all_r > 0 ORDER BY good DESC, abs(bin), bin LIMIT 1), 0) AS least)
+), good AS (SELECT t.bin, greatest((SELECT coalesce(max(p.bin) + 1, -{END}) FROM seen p WHERE p.bin < t.bin), least(0, t.bin)) AS at_, sum(CASE WHEN s.bin >= t.bin THEN s.a ELSE 0 END) * sum(s.r) + sum(CASE WHEN s.bin < t.bin THEN s.r ELSE 0 END) * sum(s.a) AS good, sum(s.a) AS all_a, sum(s.r) AS all_r FROM seen t, seen s GROUP BY t.bin
+), best AS (SELECT coalesce((SELECT at_ FROM good WHERE all_a > 0 AND all_r > 0 ORDER BY good DESC, abs(at_), at_ LIMIT 1), 0) AS least)
 SELECT page_id, host, path, rule, coalesce(fixed, CASE WHEN bin >= (SELECT least FROM best) THEN 'allow' ELSE 'block' END) AS verdict FROM binned
 """
 

@@ -1,0 +1,106 @@
+from __future__ import annotations
+
+import re
+
+import brute
+import hard
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from stratiset.llm import secret_scan
+from stratiset.llm.queries import op8_secret_scan
+
+COUNTS = ("n_assign", "n_access", "n_hex", "base_sha256")
+
+
+def plain_spans(text: str, rules=secret_scan.BASE + secret_scan.MORE) -> list[tuple[int, int, int]]:
+    """What a full scan of every rule finds."""
+    return sorted(((m.start(), m.end(), k) for k, r in enumerate(rules) for m in r.pattern.finditer(text) if r.keeps(m)), key=lambda s: (s[0], s[2]))
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_query_equals_full_scans(spark, sf):
+    data = f"/root/testdata/{sf}"
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()}
+    got = op8_secret_scan(spark, data).collect()
+    assert len(got) == len(docs) and (sf == "sf0.001" or any(r["spans"] for r in got))
+    rules = secret_scan.BASE + secret_scan.MORE
+    for r in got:
+        text = docs[r["doc_id"]] or ""
+        assert tuple(r[c] for c in COUNTS) == brute.base_secrets(text)
+        assert r["spans"] == ",".join(f"{rules[k].kind}:{a}:{b}" for a, b, k in plain_spans(text))
+
+
+def test_hard_rows(spark):
+    got = secret_scan.scan(hard.documents(spark)).collect()
+    assert sorted((r["doc_id"] or 0, *(r[c] for c in COUNTS)) for r in got) == sorted((r[0] or 0, *brute.base_secrets(r[1])) for r in hard.rows())
+    assert secret_scan.scan(hard.empty(spark)).count() == 0
+
+
+SAMPLES = {
+    "forge": "ghp_" + "a1B2" * 9,
+    "chat": "xoxb-1234567890-abcdef",
+    "jwt": "eyJhbGciOiJ.eyJzdWIiOiI.sig-x_1",
+    "cloud": "AIza" + "S" * 35,
+    "payment": "sk_live_" + "9z" * 9,
+    "private": "-----BEGIN RSA PRIVATE KEY-----",
+    "userinfo": "postgres://bob:s3cret@db.example.com",
+}
+
+
+@pytest.mark.parametrize("kind", SAMPLES)
+def test_further_kinds_are_found_and_masked(kind):
+    text = f"é before {SAMPLES[kind]} after"
+    spans = secret_scan.scanner(secret_scan.BASE + secret_scan.MORE).spans(["", text, "nothing"])
+    kinds = [(secret_scan.BASE + secret_scan.MORE)[k].kind for *_, k in spans[1]]
+    assert kind in kinds and not spans[0] and not spans[2]
+    out = secret_scan.masked(text, spans[1])
+    assert SAMPLES[kind] not in out and out.startswith("é before ") and out.endswith(" after")
+
+
+def test_queries_name_trigrams_every_match_has():
+    rules = secret_scan.BASE + secret_scan.MORE
+    queries = {r.kind: secret_scan.trigram_query(r.pattern) for r in rules}
+    assert queries["hex"] == secret_scan.ANY
+    assert all(queries[k] != secret_scan.ANY for k in ("assign", "access", "forge", "chat", "jwt", "cloud", "payment", "private", "userinfo"))
+    matches = [(r.kind, s) for r in rules for s in SAMPLES.values() if r.pattern.search(s)] + [("assign", "API_KEY: abcdefgh"), ("assign", "PassWord='zzzzzz"), ("access", "AKIA" + "Q" * 16)]
+    for kind, text in matches:
+        low = text.lower()
+        assert any(all(t in low for t in x) for x in queries[kind]), kind
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet="ab|c?*+()x", max_size=8), st.lists(st.text(alphabet="abcx", max_size=12), max_size=8))
+def test_no_match_is_missed_by_a_query(source, texts):
+    try:
+        pattern = re.compile(source, re.ASCII)
+    except re.error:
+        return
+    query = secret_scan.trigram_query(pattern)
+    for text in texts:
+        if pattern.search(text) and query != secret_scan.ANY:
+            assert any(all(t in text for t in x) for x in query), (source, text, query)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from("pasword=:'\" tokenAKIA019fgh_-.é\U0001f600"), max_size=80), max_size=6))
+def test_any_texts(texts):
+    found = secret_scan.scanner(secret_scan.BASE + secret_scan.MORE).spans(texts)
+    assert found == [plain_spans(t) for t in texts]
+
+
+def test_masks_runs_of_overlapping_spans():
+    assert secret_scan.masked("abcdefgh", [(1, 3, 0), (2, 5, 1), (6, 7, 0)]) == "a[SECRET]f[SECRET]h"
+    assert secret_scan.masked("abc", []) == "abc"
+
+
+def test_mask_keeps_columns_and_follows_lengths(spark):
+    docs = hard.documents(spark)
+    out = secret_scan.mask(docs)
+    assert out.columns == docs.columns and out.count() == docs.count()
+    row = out.filter("doc_id = 14").first()
+    assert "hunter2x" not in row["text"] and row["n_chars"] == len(row["text"])
+    assert out.filter("doc_id = 3").first()["n_chars"] is None
+    assert secret_scan.mask(docs.drop("n_chars")).count() == docs.count()
+    assert secret_scan.mask(hard.empty(spark)).count() == 0
