@@ -57,7 +57,7 @@ def fill_gaps(lists: DataFrame, key: str, items: str, to: int | None = None) ->
     most = lists.agg(F.max(key).alias("m")).scalar() if to is None else F.lit(to)
     # the range is made of blocks, so that it need not be known on the driver
     blocks = spark.range(1).select(F.explode(F.sequence(F.lit(0), F.floor(F.coalesce(most, F.lit(-1)) / 4096).cast("bigint"))).alias("block"), F.coalesce(most, F.lit(-1)).cast("bigint").alias("most"))
-    every = blocks.repartition("block").select("most", F.explode(F.sequence(F.col("block") * 4096, F.col("block") * 4096 + 4095)).alias(key)).filter(F.col(key) <= F.col("most")).select(key)
+    every = blocks.repartition("block").select("most", F.explode(F.sequence(F.col("block") * 4096, F.col("block") * 4096 + 4095)).alias(key)).filter((F.col(key) >= 0) & (F.col(key) <= F.col("most"))).select(key)
     return every.join(lists, key, "left").select(key, F.coalesce(items, F.array().cast(dict(lists.dtypes)[items])).alias(items))
 
 

@@ -99,7 +99,7 @@ def _decode(width: int):
         out = _Batches()
         for batch in rows:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                data = memoryview(content.as_buffer())
+                data = memoryview(content.as_buffer()).cast("B")
                 read = _Bytes(data, len(data))
                 for number, at, n in _walk(read, width):
                     if out.add(path, number, _values(read.read(at, n * width), width).copy()):

@@ -97,7 +97,7 @@ def _scan(spark: SparkSession, path: str, batches_of, schema: str) -> DataFrame:
     def batches(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                yield from batches_of(name, memoryview(content.as_buffer()))
+                yield from batches_of(name, memoryview(content.as_buffer()).cast("B"))
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(batches, schema)
 

@@ -21,7 +21,7 @@ def _files(spark: SparkSession, path: str, decode: Callable[[str, memoryview], I
     def batches(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                yield from decode(name, memoryview(content.as_buffer()))
+                yield from decode(name, memoryview(content.as_buffer()).cast("B"))
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(batches, schema)
 
