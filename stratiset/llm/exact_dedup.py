@@ -160,7 +160,12 @@ def _collisions(docs: DataFrame, slim: DataFrame, hits: DataFrame, n_hits: int,
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` (all columns) with one row of each group of equal texts."""
+    """``docs`` (all columns) with one row of each group of equal texts: the longest, then the smallest doc_id.
+
+    * null, empty and blank texts are one group, of which one row stays.
+    * null or repeated ids: of equal texts the row that comes first in a copy of the table stays.
+    * empty table: empty result. Extra columns, whatever their names, are kept as they are.
+    """
     docs, key = common.with_unique_key(docs)
     if key == "doc_id":
         decided = deduplicate(docs)

@@ -212,7 +212,12 @@ def quality(docs: DataFrame, vocabulary: str) -> DataFrame:
 
 
 def drop_poor(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """``docs`` (all columns) that the rules keep. Texts are measured once: the measures go beside them into the shared folder."""
+    """``docs`` (all columns) that the rules keep. Texts are measured once: the measures go beside them into the shared folder.
+
+    * null, empty and very short texts fail the base rules and go. Null lang: judged by script.
+    * null doc_id, repeated ids and rows: each row is judged and kept or dropped by itself.
+    * empty table: empty result. Extra columns, whatever their names, are kept as they are.
+    """
     prefix = "__stratiset_"
     rows = common.materialise(measured(docs, vocabulary, prefix), "quality-documents")
     return judged(rows, prefix).filter(F.col(prefix + "kept")).select(*docs.columns)

@@ -283,5 +283,10 @@ def _mask(names: list[str]):
 
 
 def mask(docs: DataFrame) -> DataFrame:
-    """``docs`` (all columns) with every secret in ``text`` replaced by a mark, and ``n_chars`` following where it changed."""
+    """``docs`` (all columns) with every secret in ``text`` replaced by a mark, and ``n_chars`` following where it changed.
+
+    * null texts stay null; texts without a secret stay as they are, with their ``n_chars``, null or not.
+    * null doc_id, repeated ids and rows: each row gets its row, none goes.
+    * empty table: empty result. Extra columns, whatever their names, are kept as they are.
+    """
     return docs.mapInArrow(_mask(docs.columns), docs.schema)

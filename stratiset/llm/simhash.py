@@ -264,7 +264,12 @@ def near_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``docs`` (all columns) with the first document of each group."""
+    """``docs`` (all columns) with the document of the smallest doc_id of each group.
+
+    * null, empty and blank texts have fingerprint zero and are one group with all that link to it.
+    * null or repeated ids: of a group the row that comes first in a copy of the table stays.
+    * empty table: empty result. Extra columns, whatever their names, are kept as they are.
+    """
     docs, key = common.with_unique_key(docs)
     found = near_groups(docs.select(F.col(key).alias("doc_id"), "text"), radius)
     gone = common.materialise(found.filter("doc_id <> component_id").select(F.col("doc_id").alias(key)), "simhash-gone")
