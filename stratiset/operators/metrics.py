@@ -10,7 +10,7 @@ import sys
 from collections.abc import Iterable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import ordering
@@ -62,14 +62,32 @@ def diagrams(sets: DataFrame, key: str, column: str, descending: bool = True) ->
     return sets.select(key, column).distinct().groupBy(key).applyInPandas(nodes, f"`{key}` {kind}, id bigint, item bigint, high bigint, low bigint")
 
 
-def family_nodes(sets: DataFrame, key: str, column: str, descending: bool = True) -> DataFrame:
-    """(key, n_nodes): the reduced diagram of each key's family. A key's distinct sets are worked on together."""
+def _digests(items: Column) -> Column:
+    """Array of two 64-bit digests of the first 0, 1, ... all items of an array."""
+    start = F.array(F.struct(F.lit(1).cast("bigint").alias("a"), F.lit(2).cast("bigint").alias("b")))
+    last = lambda acc: F.element_at(acc, F.lit(-1))
+    grow = lambda acc, x: F.concat(acc, F.array(F.struct(F.xxhash64(last(acc).a, x).alias("a"), F.xxhash64(x, last(acc).b).alias("b"))))
+    return F.aggregate(items, start, grow)
 
-    def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({key: pdf[key].iloc[:1].to_list(), "n_nodes": [reduced_nodes(pdf[column], descending)]})
 
-    kind = dict(sets.dtypes)[key]
-    return sets.select(key, column).distinct().groupBy(key).applyInPandas(count, f"`{key}` {kind}, n_nodes bigint")
+def family_nodes(sets: DataFrame, key: str, column: str, descending: bool = True) -> DataFrame:
+    """(key, n_nodes): the size of the reduced diagram of each key's family.
+
+    A node is an item and the family below it: all ends of sets that begin alike
+    and go on with this item or one after it. Families are told apart by 128 bits,
+    the exclusive-or of the digests of their members, so no task needs a whole
+    family: sets are cut into (beginning, next item, digest of the end), combined
+    before the shuffle, and only the next items of one beginning are ordered.
+    """
+    order = F.array_sort(F.array_distinct(column))
+    rows = sets.select(F.col(key).alias("__k"), (F.reverse(order) if descending else order).alias("__s")).distinct()
+    rows = rows.select("__k", "__s", _digests(F.col("__s")).alias("__p"), F.reverse(_digests(F.reverse("__s"))).alias("__e"))
+    # one row more than there are items: a set also ends
+    cut = rows.select("__k", F.explode(F.arrays_zip("__p", "__e", "__s")).alias("x")).select("__k", F.col("x.__p").alias("p"), F.col("x.__s").alias("item"), "x.__e.a", "x.__e.b")
+    nexts = cut.groupBy("__k", "p", "item").agg(F.bit_xor("a").alias("a"), F.bit_xor("b").alias("b"))
+    after = Window.partitionBy("__k", "p").orderBy(F.col("item").asc_nulls_first() if descending else F.col("item").desc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    nodes = nexts.select("__k", "item", F.bit_xor("a").over(after).alias("a"), F.bit_xor("b").over(after).alias("b")).distinct()
+    return nodes.groupBy(F.col("__k").alias(key)).agg(F.count("item").alias("n_nodes"))
 
 
 def pool_nodes(sets: DataFrame, column: str) -> DataFrame:

@@ -459,17 +459,45 @@ def g17_item_pairs(spark, d):
     return metrics.item_pairs(pools.phi(*_pool(spark, d, "ly")))
 
 
-@query()
+def _nodes_sql(sets: str, ascending: bool = False) -> str:
+    """CTEs that count the nodes of families (term, items) by their definition: distinct families under each item."""
+    above, below = ("<", ">=") if ascending else (">", "<=")
+    return f"""fam AS ({sets}), cut AS (SELECT term, i, list_filter(items, lambda m: m {above} i) AS p, list_filter(items, lambda m: m {below} i) AS q FROM fam JOIN (SELECT DISTINCT term, unnest(items) AS i FROM fam) USING (term)),
+    under AS (SELECT DISTINCT term, i, f FROM (SELECT term, i, p, list_sort(list(q)) AS f, bool_or(list_contains(q, i)) AS used FROM cut GROUP BY term, i, p) WHERE used), nodes AS (SELECT term, count(*) AS n_nodes FROM under GROUP BY term)"""
+
+
+def _snapshot_family(name: str) -> str:
+    return f"SELECT DISTINCT term, items FROM (SELECT term, list_sort(list(master)) AS items FROM {name} GROUP BY term, rel)"
+
+
+@query(t.sql("ly", more=_nodes_sql(_snapshot_family("ly")), body="SELECT term, n_nodes FROM nodes"))
 def g5_family_nodes(spark, d):
     return metrics.family_nodes(pools.snapshots(t.ly(spark, d)), "term", "masters")
 
 
-@query()
+@query(t.sql("ly", more=_nodes_sql(_snapshot_family("ly"), True), body="SELECT term, n_nodes FROM nodes"))
 def g10_family_nodes_ascending(spark, d):
     return metrics.family_nodes(pools.snapshots(t.ly(spark, d)), "term", "masters", False)
 
 
-@query()
+def _pool_size(tag: str, ascending: bool) -> None:
+    sets = "SELECT DISTINCT 0 AS term, list_sort(list(rel)) AS items FROM li GROUP BY li.term, master"
+
+    @query(t.sql("li", more=_nodes_sql(sets, ascending), body="SELECT (SELECT sum(len(items)) FROM fam)::BIGINT AS separate, n_nodes AS shared FROM nodes"))
+    def f(spark, d):
+        """Nodes of all distinct version sets, as a diagram each and as one family."""
+        pairs = pools.versions_of_pairs(t.li(spark, d)).select("rels").distinct()
+        shared = metrics.family_nodes(pairs.withColumn("pool", F.lit(0)), "pool", "rels", not ascending)
+        return metrics.pool_nodes(pairs, "rels").select(col("n_nodes").alias("separate"), shared.select("n_nodes").scalar().alias("shared"))
+
+    FOUND[f"g5_pool_nodes{tag}"] = FOUND.pop("f")
+
+
+for _tag, _ascending in (("", False), ("_ascending", True)):
+    _pool_size(_tag, _ascending)
+
+
+@query(t.sql("conv", more=_nodes_sql(_snapshot_family("conv")), body=", per AS (SELECT term, count(DISTINCT rel) AS n_versions, count(DISTINCT master) AS n_masters FROM conv GROUP BY term), s AS (SELECT term, count(*) AS n_snapshots FROM fam GROUP BY term) SELECT * FROM per JOIN s USING (term) JOIN nodes USING (term)"))
 def q14_term_metrics(spark, d):
     return metrics.term_metrics(pools.snapshots(t.conv(spark, d)))
 
@@ -507,7 +535,7 @@ def f11_containment(spark, d):
     return rows.select("doc_id", F.round("similarity", 9).alias("similarity"), (F.coalesce("similarity", F.lit(0.0)) < versions.CONTAINED).alias("starts_article"), T.preview(col("text")).alias("preview"))
 
 
-@query()
+@query("SELECT doc_id, strlen(head)::BIGINT AS n_bytes, md5(head) AS head_md5 FROM (SELECT doc_id, left(text, list_max(list_filter(range(0, 2001), lambda i: strlen(left(text, i)) <= 2000))) AS head FROM documents)")
 def f3b_byte_prefix(spark, d):
     head = T.byte_prefix(col("text"))
     return t.table(spark, d, "documents").select("doc_id", F.octet_length(head).cast("bigint").alias("n_bytes"), F.md5(head.cast("binary")).alias("head_md5"))

@@ -111,6 +111,15 @@ def test_nodes_equal_the_definition(descending):
         assert metrics.reduced_nodes(sets, descending) == plain_nodes(sets, descending)
 
 
+@pytest.mark.parametrize("descending", [True, False])
+def test_nodes_by_digests_equal_those_by_construction(spark, descending):
+    r = random.Random(3)
+    families_ = {k: [r.sample(range(10), r.randint(0, 7)) for _ in range(r.randint(1, 30))] for k in range(60)} | {60: [[]], 61: [[], [5]], 62: [list(range(400))]}
+    df = spark.createDataFrame([(k, s) for k, found in families_.items() for s in found], "k bigint, s array<bigint>")
+    got = {x["k"]: x["n_nodes"] for x in metrics.family_nodes(df, "k", "s", descending).collect()}
+    assert got == {k: metrics.reduced_nodes(found, descending) for k, found in families_.items()}
+
+
 def test_diagram_holds_exactly_its_sets():
     r = random.Random(2)
     sets = {tuple(sorted(r.sample(range(9), r.randint(0, 5)))) for _ in range(12)}
