@@ -12,19 +12,27 @@ from . import ordering
 THRESHOLD, CONTAINED = 0.35, 0.2
 
 
-def adjacent_similarity(docs: DataFrame, head: Column, measure: str = "jaccard") -> DataFrame:
-    """(doc_id, text, similarity) with the document before in the order of (text, doc_id); null for the first."""
+def _order(by: str) -> tuple[Column, list[str]]:
+    if by == "text":
+        return ordering.text_bucket("text"), ["text", "doc_id"]
+    return ordering.number_bucket("doc_id"), ["doc_id"]
+
+
+def adjacent_similarity(docs: DataFrame, head: Column, measure: str = "jaccard", by: str = "text") -> DataFrame:
+    """(doc_id, text, similarity) with the document before, in the order of (text, doc_id) or of ``doc_id``; null for the first."""
     rows = docs.select("doc_id", "text", T.long_words(head).alias("words"))
-    rows = ordering.lagged(rows, ordering.text_bucket("text"), ["text", "doc_id"], F.col("words"), "before")
+    bucket, order = _order(by)
+    rows = ordering.lagged(rows, bucket, order, F.col("words"), "before")
     value = S.jaccard(F.col("before"), F.col("words")) if measure == "jaccard" else S.containment(F.col("before"), F.col("words"))
     return rows.select("doc_id", "text", F.when(F.col("before").isNotNull(), value).alias("similarity"))
 
 
-def articles(similar: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def articles(similar: DataFrame, threshold: float = THRESHOLD, by: str = "text") -> DataFrame:
     """(doc_id, article, version): a new article where the similarity is below the threshold; versions count from 0."""
     new = F.when(F.col("similarity").isNull() | (F.col("similarity") < threshold), 1).otherwise(0)
-    rows = ordering.running_sum(similar, ordering.text_bucket("text"), ["text", "doc_id"], new, "article")
-    version = F.row_number().over(Window.partitionBy("article").orderBy("text", "doc_id")) - 1
+    bucket, order = _order(by)
+    rows = ordering.running_sum(similar, bucket, order, new, "article")
+    version = F.row_number().over(Window.partitionBy("article").orderBy(*order)) - 1
     return rows.select("doc_id", F.col("article").cast("bigint").alias("article"), version.cast("bigint").alias("version"))
 
 

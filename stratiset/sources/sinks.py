@@ -60,11 +60,11 @@ def write_lists(lists: DataFrame, path: str, width: int = 4, text_path: str | No
     return n
 
 
-def write_packed(lists: DataFrame, path: str, about: dict[str, str] | None = None, master_bits: int = MASTER_BITS, rel_bits: int = REL_BITS) -> dict[str, str]:
-    """Write packed lists with 64-bit values and, beside them at ``path``.meta, their settings; returns these."""
+def write_packed(lists: DataFrame, path: str, about: dict[str, str] | None = None, master_bits: int = MASTER_BITS, rel_bits: int = REL_BITS, kind: str = "packed") -> dict[str, str]:
+    """Write lists with 64-bit values and, beside them at ``path``.meta, their settings; returns these. ``kind`` says what the values are."""
     check_split(master_bits, rel_bits)
     n = write_lists(lists, path, 8)
-    found = {"format": "u64", **(about or {}), "tuple_output": "packed", "master_bits": str(master_bits), "rel_bits": str(rel_bits), "total_lists": str(n)}
+    found = {"format": "u64", **(about or {}), "tuple_output": kind, "master_bits": str(master_bits), "rel_bits": str(rel_bits), "total_lists": str(n)}
     with _File(lists.sparkSession, f"{path}.meta") as out:
         out.write("".join(f"{k}={v}\n" for k, v in found.items()).encode())
     return found
