@@ -110,7 +110,7 @@ def chain_nodes(phi: DataFrame) -> DataFrame:
 
 def router(terms: DataFrame) -> DataFrame:
     """(term, idx, height, bits, decoded): each term's place as bits, most significant first, of ceil(log2(n)) of them."""
-    bucket = ordering.number_bucket("term") if dict(terms.dtypes)["term"] != "string" else ordering.text_bucket("term")
+    bucket = ordering.number_bucket("term") if dict(terms.dtypes)["term"] != "string" else ordering.text_buckets("term")
     rows = ordering.numbered(terms.select("term").distinct(), bucket, ["term"], "idx", 0)
     n = rows.agg(F.count("*").alias("n"))
     rows = rows.select("term", "idx", n.scalar().alias("n"))

@@ -2,7 +2,8 @@
 
 A window without a partition puts every row into one task. Here rows are cut into
 buckets that follow the order; windows run inside buckets, and only one row per
-bucket is ordered globally.
+bucket is ordered globally. Where one bucket may hold a large share of the rows it
+is cut again by a second number, which is ordered inside the first.
 """
 
 from __future__ import annotations
@@ -19,39 +20,73 @@ def _order(cols: Sequence[Column | str]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
 
 
-def text_bucket(text: Column | str) -> Column:
-    """Follows the binary order of texts: the number that their first three bytes make."""
-    return F.conv(F.rpad(F.hex(F.substring(F.encode(text, "UTF-8"), 1, 3)), 6, "0"), 16, 10).cast("bigint")
+def _number(hexadecimal: Column, digits: int) -> Column:
+    return F.coalesce(F.conv(F.rpad(hexadecimal, digits, "0"), 16, 10).cast("bigint"), F.lit(-1))
+
+
+def text_buckets(text: Column | str) -> list[Column]:
+    """Follow the binary order of texts: the numbers that their first three and their next five bytes make; -1 for null."""
+    data = F.encode(text, "UTF-8")
+    return [_number(F.hex(F.substring(data, 1, 3)), 6), _number(F.hex(F.substring(data, 4, 5)), 10)]
 
 
 def number_bucket(number: Column | str, width: int = WIDTH) -> Column:
+    """Follows the order of numbers; nulls come first."""
     number = F.col(number) if isinstance(number, str) else number
-    return F.floor(number / width).cast("bigint")
+    return F.coalesce(F.floor(number / width).cast("bigint"), F.lit(-(1 << 62)))
+
+
+Bucket = Column | Sequence[Column]
+
+
+def _cut(df: DataFrame, bucket: Bucket) -> tuple[DataFrame, list[str]]:
+    levels = [bucket] if isinstance(bucket, Column) else list(bucket)
+    names = [f"__bucket{k}" for k in range(len(levels))]
+    return df.select("*", *(c.alias(n) for c, n in zip(levels, names))), names
+
+
+def _sum_before(totals: DataFrame, names: list[str]) -> DataFrame:
+    """The buckets of ``totals`` with __before, the sum of __total over all buckets before."""
+    *outer, inner = names
+    window = (Window.partitionBy(*outer) if outer else Window).orderBy(inner)
+    near = totals.select(*names, (F.sum("__total").over(window) - F.col("__total")).alias("__before"))
+    if not outer:
+        return near
+    far = _sum_before(totals.groupBy(*outer).agg(F.sum("__total").alias("__total")), outer).withColumnRenamed("__before", "__far")
+    return near.join(far, outer).select(*names, (F.col("__before") + F.col("__far")).alias("__before"))
+
+
+def _last_before(lasts: DataFrame, names: list[str]) -> DataFrame:
+    """The buckets of ``lasts`` with __before, the __last of the bucket before."""
+    *outer, inner = names
+    window = (Window.partitionBy(*outer) if outer else Window).orderBy(inner)
+    near = lasts.select(*names, F.lag("__last").over(window).alias("__before"), (F.row_number().over(window) == 1).alias("__first"))
+    if not outer:
+        return near.drop("__first")
+    far = _last_before(lasts.groupBy(*outer).agg(F.max_by("__last", inner).alias("__last")), outer).withColumnRenamed("__before", "__far")
+    return near.join(far, outer).select(*names, F.when(F.col("__first"), F.col("__far")).otherwise(F.col("__before")).alias("__before"))
 
 
-def running_sum(df: DataFrame, bucket: Column, order: Sequence[Column | str], value: Column, out: str) -> DataFrame:
+def running_sum(df: DataFrame, bucket: Bucket, order: Sequence[Column | str], value: Column, out: str) -> DataFrame:
     """``df`` with the sum of ``value`` over all rows up to and with this one."""
-    rows = df.withColumn("__bucket", bucket).withColumn("__value", value)
-    totals = rows.groupBy("__bucket").agg(F.sum("__value").alias("__total"))
-    before = totals.select("__bucket", (F.sum("__total").over(Window.orderBy("__bucket")) - F.col("__total")).alias("__before"))
-    inside = Window.partitionBy("__bucket").orderBy(*_order(order)).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.join(before, "__bucket").withColumn(out, F.sum("__value").over(inside) + F.col("__before")).drop("__bucket", "__value", "__before")
+    rows, names = _cut(df.withColumn("__value", value), bucket)
+    before = _sum_before(rows.groupBy(*names).agg(F.sum("__value").alias("__total")), names)
+    inside = Window.partitionBy(*names).orderBy(*_order(order)).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.join(before, names).withColumn(out, F.sum("__value").over(inside) + F.col("__before")).drop(*names, "__value", "__before")
 
 
-def numbered(df: DataFrame, bucket: Column, order: Sequence[Column | str], out: str, start: int = 1) -> DataFrame:
+def numbered(df: DataFrame, bucket: Bucket, order: Sequence[Column | str], out: str, start: int = 1) -> DataFrame:
     """``df`` with gapless numbers that follow the order."""
-    rows = df.withColumn("__bucket", bucket)
-    totals = rows.groupBy("__bucket").agg(F.count("*").alias("__total"))
-    before = totals.select("__bucket", (F.sum("__total").over(Window.orderBy("__bucket")) - F.col("__total")).alias("__before"))
-    place = F.row_number().over(Window.partitionBy("__bucket").orderBy(*_order(order)))
-    return rows.join(before, "__bucket").withColumn(out, (place + F.col("__before") + start - 1).cast("bigint")).drop("__bucket", "__before")
+    rows, names = _cut(df, bucket)
+    before = _sum_before(rows.groupBy(*names).agg(F.count("*").alias("__total")), names)
+    place = F.row_number().over(Window.partitionBy(*names).orderBy(*_order(order)))
+    return rows.join(before, names).withColumn(out, (place + F.col("__before") + start - 1).cast("bigint")).drop(*names, "__before")
 
 
-def lagged(df: DataFrame, bucket: Column, order: Sequence[Column | str], value: Column | str, out: str) -> DataFrame:
+def lagged(df: DataFrame, bucket: Bucket, order: Sequence[Column | str], value: Column | str, out: str) -> DataFrame:
     """``df`` with ``value`` of the row before; null for the first row of all."""
-    rows = df.withColumn("__bucket", bucket).withColumn("__value", value if isinstance(value, Column) else F.col(value))
-    lasts = rows.groupBy("__bucket").agg(F.max_by("__value", F.struct(*_order(order))).alias("__last"))
-    before = lasts.select("__bucket", F.lag("__last").over(Window.orderBy("__bucket")).alias("__before"))
-    inside = Window.partitionBy("__bucket").orderBy(*_order(order))
+    rows, names = _cut(df.withColumn("__value", value if isinstance(value, Column) else F.col(value)), bucket)
+    before = _last_before(rows.groupBy(*names).agg(F.max_by("__value", F.struct(*_order(order))).alias("__last")), names)
+    inside = Window.partitionBy(*names).orderBy(*_order(order))
     first = F.row_number().over(inside) == 1
-    return rows.join(before, "__bucket").withColumn(out, F.when(first, F.col("__before")).otherwise(F.lag("__value").over(inside))).drop("__bucket", "__value", "__before")
+    return rows.join(before, names).withColumn(out, F.when(first, F.col("__before")).otherwise(F.lag("__value").over(inside))).drop(*names, "__value", "__before")

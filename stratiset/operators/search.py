@@ -14,7 +14,7 @@ def vocabulary(posting: DataFrame) -> DataFrame:
     """(word, term): the words of a posting relation numbered from 0 in their order."""
     from . import ordering
 
-    return ordering.numbered(posting.select(F.col("term").alias("word")).distinct(), ordering.text_bucket("word"), ["word"], "term", 0)
+    return ordering.numbered(posting.select(F.col("term").alias("word")).distinct(), ordering.text_buckets("word"), ["word"], "term", 0)
 
 
 def resolve(words: DataFrame, vocab: DataFrame, numeric_first: bool, n_terms: DataFrame | None = None) -> DataFrame:

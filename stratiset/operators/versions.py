@@ -12,9 +12,9 @@ from . import ordering
 THRESHOLD, CONTAINED = 0.35, 0.2
 
 
-def _order(by: str) -> tuple[Column, list[str]]:
+def _order(by: str) -> tuple[ordering.Bucket, list[str]]:
     if by == "text":
-        return ordering.text_bucket("text"), ["text", "doc_id"]
+        return ordering.text_buckets("text"), ["text", "doc_id"]
     return ordering.number_bucket("doc_id"), ["doc_id"]
 
 

@@ -188,8 +188,8 @@ def test_ordering_does_not_depend_on_buckets(spark):
     values = [(k, r.randrange(1000), r.randrange(5)) for k in range(300)]
     df = spark.createDataFrame(values, "id bigint, k bigint, v bigint").repartition(5)
     order = sorted(values, key=lambda x: (x[1], x[0]))
-    for width in (1, 64, 1 << 16):
-        b = ordering.number_bucket("k", width)
+    two = [ordering.number_bucket("k", 256), ordering.number_bucket("k", 16)]
+    for b in (*(ordering.number_bucket("k", width) for width in (1, 64, 1 << 16)), two, [*two, ordering.number_bucket("k", 2)]):
         assert [x["id"] for x in sorted(ordering.numbered(df, b, ["k", "id"], "n").collect(), key=lambda x: x["n"])] == [x[0] for x in order]
         sums = {x["id"]: x["s"] for x in ordering.running_sum(df, b, ["k", "id"], F.col("v"), "s").collect()}
         assert [sums[x[0]] for x in order] == list(itertools.accumulate(x[2] for x in order))
@@ -198,10 +198,18 @@ def test_ordering_does_not_depend_on_buckets(spark):
 
 
 def test_text_buckets_follow_the_order_of_texts(spark):
-    texts = ["", "a", "ab", "abc", "abcd", "b", "é", "日本", "~", "Z", "a b"]
-    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", ordering.text_bucket("t").alias("b"))
-    found = sorted((r["t"].encode(), r["b"]) for r in df.collect())
+    texts = ["", "a", "ab", "abc", "abcd", "abcdefghij", "abcdefghik", "b", "é", "éa", "日本", "~", "Z", "a b", "ab\0", "ab\0\0c"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    found = sorted((r["t"].encode(), r["b"]) for r in df.select("t", F.array(*ordering.text_buckets("t")).alias("b")).collect())
     assert [b for _, b in found] == sorted(b for _, b in found)
+    ids = {r["t"]: r["n"] for r in ordering.numbered(df, ordering.text_buckets("t"), ["t"], "n").collect()}
+    assert sorted(ids, key=ids.get) == sorted(texts, key=str.encode)
+
+
+def test_nulls_come_first_in_an_order(spark):
+    df = spark.createDataFrame([(None, 1), ("b", 2), ("a", 3), (None, 4)], "t string, v bigint")
+    assert rows(ordering.numbered(df, ordering.text_buckets("t"), ["t", "v"], "n"), "n", "v") == [(1, 1), (2, 4), (3, 3), (4, 2)]
+    assert rows(ordering.running_sum(df, ordering.number_bucket("v", 2), ["v"], F.col("v"), "s"), "v", "s") == [(1, 1), (2, 3), (3, 6), (4, 10)]
 
 
 def test_resolution_orders(spark):
