@@ -17,6 +17,7 @@ import os
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -32,6 +33,8 @@ from . import common
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
+#: No id is this large.
+FLAG = 0xFFFFFFF0
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -121,24 +124,30 @@ class PieceCodec:
         return MARK + text if text and self.file.dummy_prefix else text
 
     def _encode(self, chunks: list[str]) -> list[bytes]:
-        """Flags (1: ids of both libraries differ, 2: does not decode to itself) in one byte, then the ids."""
+        """The ids; where ids of both libraries differ (1) or do not decode to the chunk (2), FLAG and these numbers come first."""
         ours = [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
         first = MARK if self.file.dummy_prefix else ""
         theirs = self.library.encode([c.removeprefix(first) for c in chunks])
         # the library gives an empty text no marker, so a marker by itself is its piece
         theirs = [b if c != first else [self.library.piece_to_id(MARK)] for b, c in zip(theirs, chunks)]
         texts = self.tokenizer.decode_batch(theirs, skip_special_tokens=False)
-        return [bytes([(a != b) | (t != c.replace(MARK, " ")) << 1]) + np.array(b, "<u4").tobytes() for a, b, t, c in zip(ours, theirs, texts, chunks)]
+        out = []
+        for a, b, t, c in zip(ours, theirs, texts, chunks):
+            flags = (a != b) | (t != c.replace(MARK, " ")) << 1
+            out.append(array("I", [FLAG + flags, *b] if flags else b).tobytes())
+        return out
 
     def encode(self, texts: list[str | None]) -> list[tuple[bytes, int, bool]]:
         """Ids (little-endian unsigned 32 bits), chunks on which the libraries differ, and whether the ids decode to the normalised text."""
         chunks = [self.chunk.findall(self.normalise(t or "")) if self.cuts else [x for x in [self.normalise(t or "")] if x] for t in texts]
         values, out, at = self.cache.values([c for x in chunks for c in x]), [], 0
         for x in chunks:
-            own = values[at : at + len(x)]
+            joined = b"".join(values[at : at + len(x)])
             at += len(x)
-            flags = [v[0] for v in own]
-            out.append((b"".join([v[1:] for v in own]), sum(f & 1 for f in flags), not any(f & 2 for f in flags)))
+            ids = np.frombuffer(joined, "<u4")
+            marked = ids >= FLAG
+            flags = ids[marked] - FLAG
+            out.append((ids[~marked].tobytes() if len(flags) else joined, int((flags & 1).sum()), not (flags & 2).any()))
         return out
 
     def decode(self, ids: list[list[int]]) -> list[str]:
