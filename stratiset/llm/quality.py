@@ -5,10 +5,13 @@ method measures each text with a public vocabulary (words by themselves): code
 points per token, share of byte-fallback tokens and entropy of the tokens. Bands
 per language (or script, where ``lang`` names none) are quartile fences over all
 documents that pass the base rules; a text outside its language's bands goes.
+Quartiles of a language with fewer than ``SUPPORT`` documents are drawn towards
+those of its script, these towards those of all rows, and these towards NATURAL,
+so that every rule judges every row whatever the size of the table.
 
 Scale: one narrow pass measures each text once and writes a slim table; the
 bands are one aggregation with map-side sketches into at most 26**2 + 26**3
-languages and a few scripts, and are broadcast under that bound.
+languages, a few scripts and all rows, and are broadcast under that bound.
 """
 
 from __future__ import annotations
@@ -27,14 +30,16 @@ from . import common
 
 WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
 SYMBOLS = "#*$%&|<>"
-#: Fences in interquartile ranges beyond the median; the floors of the ranges; documents that a band needs.
+#: Fences in interquartile ranges beyond the median; the floors of the ranges; documents from which a band stands by itself.
 FENCES = {"fertility": 4.0, "fallback": 10.0, "entropy": 3.5, "evenness": 1.5}
 #: Measures of short texts scatter: with so many tokens the fences are twice as far.
 SHORT = 60
 FLOORS = {"fertility": 0.02, "fallback": 0.01, "entropy": 0.1, "evenness": 0.03}
 SUPPORT = 100
-#: Bands of a language or script with too few documents: anything a natural text can be.
-WIDE = {"fertility": (0.3, 12.0), "fallback": 0.7}
+#: Rows of a rare language that agree place its band: half the way where there are AGREE of them besides the first.
+AGREE = 10
+#: Towards what the quartiles of a table of few rows are drawn: entropy and evenness as measured on prose, fertility and fallback as wide as natural texts of all languages.
+NATURAL = {"fertility": (1.5, 2.75, 4.0), "fallback": (-0.03, 0.0, 0.03), "entropy": (6.27, 6.52, 6.69), "evenness": (0.648, 0.698, 0.747)}
 SCRIPTS = ((0x41, "Latn"), (0x370, "Grek"), (0x400, "Cyrl"), (0x590, "Hebr"), (0x600, "Arab"), (0x900, "Deva"), (0xE00, "Thai"), (0x1100, "Hang"), (0x1200, "Zyyy"), (0x3040, "Kana"), (0x3400, "Hani"), (0xA000, "Zyyy"), (0xAC00, "Hang"), (0xD7B0, "Zyyy"), (0xF900, "Hani"), (0xFB00, "Zyyy"))
 MEASURES = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, n_tokens bigint, fertility double, fallback double, entropy double, evenness double, script string"
 NAMES = [c.split()[0] for c in MEASURES.split(", ")]
@@ -170,12 +175,35 @@ def band_of(prefix: str = "") -> Column:
     return F.when(F.col("lang").rlike("^[a-z]{2,3}$"), F.col("lang")).otherwise(F.col(prefix + "script"))
 
 
+def _drawn(measure: str, support: Column, parent: Column, known: Column) -> Column:
+    """Quartiles of few rows, drawn towards the parent's by the share of SUPPORT that is missing.
+
+    The median moves sooner, and the range takes in what the rows and the parent differ by; ``known`` (0 to 1) says how much the parent is worth as a contrast.
+    """
+    q, share = F.col(measure), F.least(support / SUPPORT, F.lit(1.0))
+    placed = F.greatest(share, known * (support - 1) / (support - 1 + AGREE))
+    middle = placed * q[1] + (1 - placed) * parent[1]
+    half = (share * (q[2] - q[0]) + (1 - share) * (parent[2] - parent[0])) / 2
+    # four times the product outweighs the rest of the way from a placed share of a quarter on
+    half += known * placed * (1 - placed) * F.abs(q[1] - parent[1]) * 4 / FENCES[measure] / 2
+    return F.when(support >= SUPPORT, q).otherwise(F.array(middle - half, middle, middle + half))
+
+
 def bands(rows: DataFrame, prefix: str = "") -> DataFrame:
-    """Quartiles of each measure by band over all rows that pass the base rules; at most 18,252 languages and the scripts."""
-    names = list(FENCES)
-    good = rows.filter(~base_failed(prefix)).groupBy(band_of(prefix).alias("__band"))
-    quartiles = [F.percentile_approx(prefix + m, [0.25, 0.5, 0.75], 10_000).alias(f"__{m}") for m in names]
-    return good.agg(F.count("*").alias("__support"), *quartiles).filter(F.col("__support") >= SUPPORT)
+    """Quartiles of each measure by band over all rows that pass the base rules; at most 18,252 languages and the scripts.
+
+    A band's script is that of most of its rows (the first by name of several).
+    """
+    script = F.col(prefix + "script")
+    levels = F.array(F.struct(F.lit(0).alias("level"), band_of(prefix).alias("band")), F.struct(F.lit(1).alias("level"), script.alias("band")), F.struct(F.lit(2).alias("level"), F.lit("").alias("band")))
+    good = rows.filter(~base_failed(prefix)).select(F.explode(levels).alias("at"), script.alias("script"), *(F.col(prefix + m).alias(m) for m in FENCES))
+    quartiles = [F.percentile_approx(m, [0.25, 0.5, 0.75], 10_000).alias(m) for m in FENCES]
+    found = common.materialise(good.groupBy("at.level", "at.band").agg(F.count("*").alias("n"), F.mode("script", True).alias("script"), *quartiles), "quality-bands")
+    none, n = F.lit(0.0), F.col("n")
+    whole = found.filter("level = 2").select(F.least(n / SUPPORT, F.lit(1.0)).alias("known"), *(_drawn(m, n, F.array(*map(F.lit, NATURAL[m])), none).alias(f"whole_{m}") for m in FENCES))
+    scripts = found.filter("level = 1").crossJoin(F.broadcast(whole)).select("script", "known", *(_drawn(m, n, F.col(f"whole_{m}"), F.col("known")).alias(f"script_{m}") for m in FENCES))
+    own = found.filter("level = 0").join(F.broadcast(scripts), "script")
+    return own.select(F.col("band").alias("__band"), *(_drawn(m, n, F.col(f"script_{m}"), F.col("known")).alias(f"__{m}") for m in FENCES))
 
 
 def _fence(measure: str, side: int, n_tokens: Column) -> Column:
@@ -186,16 +214,12 @@ def _fence(measure: str, side: int, n_tokens: Column) -> Column:
 def judged(rows: DataFrame, prefix: str = "") -> DataFrame:
     """``rows`` with base_failed and kept (named with the prefix)."""
     m = lambda name: F.col(prefix + name)
-    known = F.col("__support").isNotNull()
     fence = lambda name, side: _fence(name, side, m("n_tokens"))
-    odd = F.when(
-        known,
-        (m("fertility") < fence("fertility", -1)) | (m("fertility") > fence("fertility", 1)) | (m("fallback") > fence("fallback", 1)) | ((m("entropy") < fence("entropy", -1)) & (m("evenness") < fence("evenness", -1))),
-    ).otherwise((m("fertility") < WIDE["fertility"][0]) | (m("fertility") > WIDE["fertility"][1]) | (m("fallback") > WIDE["fallback"]))
+    odd = (m("fertility") < fence("fertility", -1)) | (m("fertility") > fence("fertility", 1)) | (m("fallback") > fence("fallback", 1)) | ((m("entropy") < fence("entropy", -1)) & (m("evenness") < fence("evenness", -1)))
     table = F.broadcast(bands(rows, prefix))
     out = rows.withColumn("__band", band_of(prefix)).join(table, "__band", "left")
     out = out.withColumn(prefix + "base_failed", base_failed(prefix)).withColumn(prefix + "kept", ~base_failed(prefix) & ~odd)
-    return out.drop("__band", "__support", *(f"__{x}" for x in FENCES))
+    return out.drop("__band", *(f"__{x}" for x in FENCES))
 
 
 def quality(docs: DataFrame, vocabulary: str) -> DataFrame:

@@ -59,6 +59,44 @@ def test_a_text_outside_its_language_goes(spark):
     assert all(r["kept"] for d, r in kept.items() if d != 1000 and not r["base_failed"])
 
 
+def prose(r, lang: str, letters: str, n: int = 120) -> str:
+    """Words of four to eight letters; 400 words by language."""
+    import random
+
+    own = random.Random(lang)
+    words = ["".join(own.choice(letters) + own.choice("aeiou") for _ in range(own.randrange(2, 5))) for _ in range(400)]
+    return " ".join(r.choice(words) for _ in range(n))
+
+
+@pytest.mark.parametrize("many", [0, 300])
+def test_every_rule_judges_small_tables_and_rare_languages(spark, many):
+    import random
+
+    r = random.Random(5)
+    rows = [(k, prose(r, "aa", "bcdfglmnprst"), "aa") for k in range(many)]
+    rows += [(1000 + k, prose(r, "bb", "bdgklmnrtvz"), "bb") for k in range(40)]
+    dull = [" ".join(r.choice(("river", "stone", "cloud", "field")) for _ in range(90)) for _ in range(2)]
+    foreign = prose(r, "bb", "bdgklmnrtvz", 70) + "".join(f" \u16a0{chr(0x13000 + k)}" for k in range(50))
+    rows += [(2000, dull[0], "bb"), (2001, foreign, "bb")]
+    rows += [(2002, dull[1], "zz")] if many else []
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = {x["doc_id"]: x for x in quality.quality(docs, FILE).collect()}
+    assert len(got) == len(rows)
+    assert not any(x["base_failed"] for x in got.values())
+    assert {d for d, x in got.items() if not x["kept"]} == {d for d in got if d >= 2000}
+    assert {x["doc_id"] for x in quality.drop_poor(docs, FILE).collect()} == {d for d in got if d < 2000}
+
+
+def test_a_rare_language_that_agrees_stays(spark):
+    import random
+
+    r = random.Random(6)
+    rows = [(k, prose(r, "aa", "bcdfglmnprst"), "aa") for k in range(200)]
+    rows += [(1000 + k, prose(r, "cc", "\u017c\u0107\u0144\u015b\u0142"), "cc") for k in range(20)]
+    got = quality.quality(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), FILE).collect()
+    assert len(got) == 220 and [x for x in got if not x["kept"]] == []
+
+
 def test_hard_rows(spark):
     docs = hard.documents(spark)
     got = quality.quality(docs, FILE).collect()
