@@ -42,6 +42,13 @@ def _rule(kind: str, pattern: str, flags: int = 0, keeps: Callable[[re.Match], b
     return Rule(kind, re.compile(pattern, re.ASCII | flags), *([keeps] if keeps else []))
 
 
+#: A key up to its END line; without one, the following lines of base64 (line ends may be written as \\n, lines may be
+#: quoted), or base64 that goes on in the same line. Another BEGIN line ends the search for END.
+_END_LINE = r"(?:(?!-----BEGIN )[\s\S])*?-----END \1PRIVATE KEY-----"
+_BREAK = r"[\x20\t\"',;+\\]*?(?:\r?\n|(?:\\r)?\\n)[\x20\t\r>#*|\"'+]*"
+_LINES = rf"(?:{_BREAK}(?:(?:Proc-Type|DEK-Info|Comment|Version):[^\n\\]*)?(?:[A-Za-z0-9+/]++={{0,2}}(?=[\x20\t\"',;+]*(?:[\r\n\\]|\Z)))?)*"
+_SAME_LINE = r"(?:[\x20\t]+[A-Za-z0-9+/]{16,}={0,2}(?:[\x20\t]+(?:[A-Za-z0-9+/]{16,}={0,2}|[A-Za-z]*[0-9+/=][A-Za-z0-9+/=]*))*)?"
+
 BASE = (
     _rule("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE, lambda m: m.end(2) - m.start(2) >= 6),
     _rule("access", r"AKIA[A-Z0-9]+", 0, lambda m: m.end() - m.start() >= 20),
@@ -54,7 +61,7 @@ MORE = (
     _rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"),
     _rule("cloud", r"AIza[A-Za-z0-9_-]{35}"),
     _rule("payment", r"[sr]k_live_[A-Za-z0-9]{16,}"),
-    _rule("private", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
+    _rule("private", rf"-----BEGIN ((?:[A-Z]+ )*)PRIVATE KEY-----(?:{_END_LINE}|{_SAME_LINE}{_LINES})"),
     _rule("userinfo", r"[a-z][a-z0-9+.-]{1,20}://[^\x00-\x20/:@\"']{1,100}:[^\x00-\x20/:@\"']{3,100}@[A-Za-z0-9.-]+"),
 )
 
