@@ -167,12 +167,13 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     * empty table: empty result. Extra columns, whatever their names, are kept as they are.
     """
     docs, key = common.with_unique_key(docs)
-    if key == "doc_id":
-        decided = deduplicate(docs)
-    else:  # rows repeat an id: decide by row numbers, which follow the order of the table
+    with common.only(docs.sparkSession) as keep:
+        # rows that repeat an id are decided by row numbers, which follow the order of the table
         decided = deduplicate(docs.select(F.col(key).alias("doc_id"), "text"))
-    gone = common.materialise(decided.filter(~F.col("kept")).select(F.col("doc_id").alias(key)), "dedup-gone")
-    return common.semi_or_anti(docs, gone, key, gone.count(), "left_anti").drop(common.ROW)
+        gone = common.materialise(decided.filter(~F.col("kept")).select(F.col("doc_id").alias(key)), "dedup-gone")
+        keep.append(gone)
+    out = common.semi_or_anti(docs, gone, key, gone.count(), "left_anti")
+    return out if key == "doc_id" else out.drop(key)
 
 
 ORACLE_SQL = r"""

@@ -271,6 +271,9 @@ def drop_near_copies(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     * empty table: empty result. Extra columns, whatever their names, are kept as they are.
     """
     docs, key = common.with_unique_key(docs)
-    found = near_groups(docs.select(F.col(key).alias("doc_id"), "text"), radius)
-    gone = common.materialise(found.filter("doc_id <> component_id").select(F.col("doc_id").alias(key)), "simhash-gone")
-    return common.semi_or_anti(docs, gone, key, gone.count(), "left_anti").drop(common.ROW)
+    with common.only(docs.sparkSession) as keep:
+        found = near_groups(docs.select(F.col(key).alias("doc_id"), "text"), radius)
+        gone = common.materialise(found.filter("doc_id <> component_id").select(F.col("doc_id").alias(key)), "simhash-gone")
+        keep.append(gone)
+    out = common.semi_or_anti(docs, gone, key, gone.count(), "left_anti")
+    return out if key == "doc_id" else out.drop(key)

@@ -336,7 +336,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Network | None:
 def _score(shared):
     def batches(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for batch in common.slices(rows, 64):
+        for batch in common.slices(rows, n=64):
             found = scorer.scores(batch.column(2).to_pylist())
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(found, pa.float64())], names=["doc_id", "held_out", "score"])
 
