@@ -4,11 +4,16 @@ Every task packs its own rows in blocks of ``BLOCK`` documents, so nothing is
 shuffled and memory follows the block. Whole windows of a long document become
 sequences of their own. The rests of a block are dealt to k windows by largest
 differencing: the two partial partitions with the largest imbalance are merged,
-fullest part with emptiest, until one is left; its windows are near-equal. k
-starts at the least possible number and rises, by one in 64, while a window
-exceeds the capacity. Near-equal windows all keep a little room, so in the end the emptiest
-ones are cut to fill the fullest, and the block's last part is written as
-sequences whose lengths are powers of two: a block has no padding.
+fullest part with emptiest, until one is left; its windows are near-equal. k is
+the number of windows that the block's tokens fill, and rises by one with every
+capacity that they exceed.
+
+Near-equal windows lie a little above or below the capacity (0.4 % of the tokens
+lie above). As documents may be cut, what lies above is cut off and goes where
+room is left, so windows are full and have no padding; what no window has room
+for, less than one capacity, joins the next block. Only a task's last part is
+written as sequences whose lengths are powers of two. ``whole=True`` cuts no
+rest: there k rises, by one in 64, until no window exceeds the capacity.
 """
 
 from __future__ import annotations
@@ -25,7 +30,9 @@ from pyspark.sql import functions as F
 from . import common
 from .word_bpe import word_bpe
 
-CAPACITY, END_ID, BLOCK = 2048, 1, 512
+CAPACITY, END_ID = 2048, 1
+#: Documents, and bytes of their ids, that are packed together.
+BLOCK, BLOCK_BYTES = 256, 8 << 20
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
@@ -83,36 +90,44 @@ def windows(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
 Piece = tuple[int, int, int]  # document, start, length
 
 
-def sequences(lengths: list[int], capacity: int = CAPACITY) -> list[list[Piece]]:
-    """Documents of the given token counts cut and packed: lists of pieces, each list one sequence."""
+def sequences(pieces: list[Piece], capacity: int = CAPACITY, whole: bool = False) -> tuple[list[list[Piece]], list[Piece]]:
+    """Pieces cut and packed: full sequences, and the pieces (less than one capacity) that wait for the next block.
+
+    With ``whole`` a piece is cut only where it is longer than a sequence; sequences are near-equal and nothing waits.
+    """
     out: list[list[Piece]] = []
     rests: list[Piece] = []
-    for doc, n in enumerate(lengths):
-        whole = n // capacity * capacity
-        out += [[(doc, at, capacity)] for at in range(0, whole, capacity)]
-        if n > whole:
-            rests.append((doc, whole, n - whole))
-    packed = [[rests[i] for i in w] for w in windows([r[2] for r in rests], capacity)]
-    packed.sort(key=lambda w: -sum(p[2] for p in w))
-    # the emptiest windows, cut where needed, fill the fullest
-    low = len(packed) - 1
-    for high in range(len(packed)):
-        room = capacity - sum(p[2] for p in packed[high])
-        while room and high < low:
-            doc, start, n = packed[low].pop()
-            take = min(n, room)
-            packed[high].append((doc, start, take))
+    for doc, start, n in pieces:
+        end = start + n // capacity * capacity
+        out += [[(doc, at, capacity)] for at in range(start, end, capacity)]
+        if n % capacity:
+            rests.append((doc, end, n % capacity))
+    sizes = [r[2] for r in rests]
+    if whole:
+        return out + [[rests[i] for i in w] for w in windows(sizes, capacity)], []
+    packed = [[rests[i] for i in w] for w in differencing(sizes, k)] if (k := sum(sizes) // capacity) else [rests]
+    over: list[Piece] = []
+    room: list[tuple[list[Piece], int]] = []
+    for w in packed if k else []:
+        spare = capacity - sum(p[2] for p in w)
+        if spare > 0:
+            room.append((w, spare))
+        while spare < 0:
+            doc, start, n = w.pop()
+            if n > -spare:
+                w.append((doc, start, n + spare))
+                start, n = start + n + spare, -spare
+            over.append((doc, start, n))
+            spare += n
+    for w, spare in room:
+        while spare:
+            doc, start, n = over.pop()
+            take = min(n, spare)
+            w.append((doc, start, take))
             if n > take:
-                packed[low].append((doc, start + take, n - take))
-            elif not packed[low]:
-                low -= 1
-            room -= take
-        if high >= low:
-            break
-    packed = packed[: low + 1] if packed else []
-    if packed and sum(p[2] for p in packed[-1]) < capacity:
-        packed[-1:] = _powers(packed[-1])
-    return out + packed
+                over.append((doc, start + take, n - take))
+            spare -= take
+    return (out + packed, over) if k else (out, rests)
 
 
 def _powers(pieces: list[Piece]) -> list[list[Piece]]:
@@ -134,7 +149,7 @@ def _powers(pieces: list[Piece]) -> list[list[Piece]]:
     return out
 
 
-def _pack(path: str, with_ids: bool):
+def _pack(path: str, with_ids: bool, whole: bool):
     end = END_ID.to_bytes(4, "little")
 
     def batches(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,43 +157,55 @@ def _pack(path: str, with_ids: bool):
         number = (task.partitionId() if task else 0) << 40
         docs: list = []
         ids: list[bytes] = []
-
-        def close() -> pa.RecordBatch:
-            nonlocal number
+        held = 0
+        waiting: list[Piece] = []  # pieces of the documents that lead ``docs``
+        names = [c.split()[0] for c in SCHEMA.split(", ")] + ["ids"] * with_ids
+
+        def close(last: bool) -> pa.RecordBatch:
+            nonlocal number, waiting
+            led = len({p[0] for p in waiting})
+            found, waiting = sequences(waiting + [(k, 0, len(ids[k]) // 4) for k in range(led, len(docs))], whole=whole)
+            if last and waiting:
+                found += _powers(waiting)
+                waiting = []
             out: list[tuple] = []
-            for pieces in sequences([len(x) // 4 for x in ids]):
+            for pieces in found:
                 offset = 0
                 for doc, start, n in pieces:
                     piece = memoryview(ids[doc])[4 * start : 4 * (start + n)]
                     out.append((docs[doc], start, n, zlib.crc32(piece), len(ids[doc]) // 4, number, offset, *([piece.cast("I").tolist()] if with_ids else [])))
                     offset += n
                 number += 1
-            docs.clear()
-            ids.clear()
-            cols = list(zip(*out))
-            names = [c.split()[0] for c in SCHEMA.split(", ")] + ["ids"] * with_ids
+            keep = {k: at for at, k in enumerate(sorted({p[0] for p in waiting}))}
+            waiting = [(keep[doc], start, n) for doc, start, n in waiting]
+            docs[:], ids[:] = [docs[k] for k in keep], [ids[k] for k in keep]
+            cols = list(zip(*out)) or [()] * len(names)
             return pa.record_batch([pa.array(c, pa.int64()) for c in cols[:7]] + [pa.array(c, pa.list_(pa.int64())) for c in cols[7:]], names=names)
 
         for batch in common.slices(rows):
-            docs += batch.column(0).to_pylist()
-            ids += [x + end for x in tokenizer.ids(batch.column(1).to_pylist())]
-            if len(docs) >= BLOCK:
-                yield close()
+            for doc, own in zip(batch.column(0).to_pylist(), tokenizer.ids(batch.column(1))):
+                docs.append(doc)
+                ids.append(own + end)
+                held += len(own)
+                if len(docs) >= BLOCK or held >= BLOCK_BYTES:
+                    yield close(False)
+                    held = 0
         if docs:
-            yield close()
+            yield close(True)
 
     return batches
 
 
-def pack(docs: DataFrame, tokenizer_path: str, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, with_ids: bool = False, whole: bool = False) -> DataFrame:
     """One row per piece of a document in a sequence of at most CAPACITY tokens.
 
     doc_id, start (the document's ids before the piece), length, ids_crc32 (of its
     ids as little-endian unsigned 32-bit numbers), doc_tokens (with the end id),
-    sequence_id, offset (place in the sequence, without gaps); with_ids adds ids.
+    sequence_id, offset (place in the sequence, without gaps); with_ids adds ids; ``whole``
+    cuts only documents longer than a sequence, which leaves room at the ends of sequences.
 
     * null text: as empty; an empty text is its end id alone.
     * null doc_id, repeated ids and rows: each row is a document of its own.
     * empty table: empty result. Extra columns are ignored.
     """
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_pack(tokenizer_path, with_ids), SCHEMA + (", ids array<bigint>" if with_ids else ""))
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_pack(tokenizer_path, with_ids, whole), SCHEMA + (", ids array<bigint>" if with_ids else ""))

@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import hard
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -81,7 +82,7 @@ def test_hard_rows(spark, library):
 
 def test_ids_equal_the_library(library):
     texts = [r[1] or "" for r in hard.rows()] + ["it's I'LL we'd don't'd 'S x'ss", "Å ÀÖ ß µ ÿ× ÷ a×b", "é école", "<|ENDOFTEXT|>x <|endoftext|>y", "a b c​d", "1½²٣", "日本 한국어 ไทย", "a퟿b"]
-    for text, got in zip(texts, word_bpe(FILE).ids(texts)):
+    for text, got in zip(texts, word_bpe(FILE).ids(pa.array(texts, pa.string()))):
         assert np.frombuffer(got, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text[:40]
 
 
@@ -90,7 +91,7 @@ def test_ids_equal_the_library(library):
 def test_ids_equal_the_library_on_any_text(text):
     want = Tokenizer.from_file(FILE) if not hasattr(test_ids_equal_the_library_on_any_text, "t") else test_ids_equal_the_library_on_any_text.t
     test_ids_equal_the_library_on_any_text.t = want
-    assert np.frombuffer(word_bpe(FILE).ids([text])[0], "<u4").tolist() == want.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(word_bpe(FILE).ids(pa.array([text], pa.string()))[0], "<u4").tolist() == want.encode(text, add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("seed", range(5))
@@ -111,18 +112,47 @@ def test_window_count_rises_until_all_fit():
     assert packing.windows([]) == [] and packing.differencing([], 3) == []
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.integers(0, 7000), max_size=60))
-def test_sequences_hold_every_token_once(lengths):
+def check_cut(lengths, found):
     seen = [[] for _ in lengths]
-    for own in packing.sequences(lengths):
-        n = sum(p[2] for p in own)
-        assert 0 < n <= CAP and (n == CAP or n & (n - 1) == 0)
+    for own in found:
         for doc, start, size in own:
             seen[doc].append((start, size))
     for n, own in zip(lengths, seen):
         at = 0
         for start, size in sorted(own):
-            assert start == at
+            assert start == at and size > 0
             at += size
         assert at == n
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 7000), max_size=60))
+def test_sequences_hold_every_token_once(lengths):
+    found, waiting = packing.sequences([(k, 0, n) for k, n in enumerate(lengths)])
+    assert all(sum(p[2] for p in own) == CAP for own in found) and sum(p[2] for p in waiting) < CAP
+    powers = packing._powers(waiting)
+    assert all((n := sum(p[2] for p in own)) & (n - 1) == 0 for own in powers)
+    check_cut(lengths, found + powers)
+    whole, none = packing.sequences([(k, 0, n) for k, n in enumerate(lengths)], whole=True)
+    assert none == [] and all(0 < sum(p[2] for p in own) <= CAP for own in whole)
+    check_cut(lengths, whole)
+    assert sum(map(len, whole)) == sum(-(-n // CAP) for n in lengths)
+
+
+def test_cutting_hardly_touches_the_windows_of_the_differencing():
+    r = random.Random(2)
+    sizes = [min(CAP, int(r.lognormvariate(6.3, 0.9))) for _ in range(packing.BLOCK)]
+    k = sum(sizes) // CAP
+    over = sum(max(0, sum(sizes[n] for n in w) - CAP) for w in packing.differencing(sizes, k))
+    found, waiting = packing.sequences([(n, 0, s) for n, s in enumerate(sizes)])
+    assert len(found) == k and over <= 0.03 * sum(sizes)
+    assert sum(map(len, found)) + len(waiting) <= len(sizes) + 2 * k
+
+
+def test_a_long_text_in_parts_has_the_same_ids(library, monkeypatch):
+    from stratiset.llm import common
+
+    text = " ".join(f"it's word{k}\n\tof x{k % 7}y  " for k in range(800))
+    monkeypatch.setattr(common, "PART", 100)
+    got = word_bpe(FILE).ids(pa.array([text]))
+    assert np.frombuffer(got[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
