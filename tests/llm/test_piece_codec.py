@@ -4,6 +4,7 @@ import zlib
 
 import hard
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -50,7 +51,7 @@ def test_hard_rows_round_trip(spark):
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet=st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from("  ▁ab<s></s>\n")), max_size=50))
 def test_any_text(text):
-    ids, differ, decodes = piece_codec.piece_codec(FILE).encode([text])[0]
+    ids, differ, decodes = piece_codec.piece_codec(FILE).encode(pa.array([text], pa.string()))[0]
     assert np.frombuffer(ids, "<u4").tolist() == LIBRARY.encode(text)
     assert differ == 0
 
@@ -93,6 +94,6 @@ def test_unigram_scores_and_byte_fallback():
     library, codec = sentencepiece.SentencePieceProcessor(model_proto=data), piece_codec.PieceCodec(data)
     assert codec.file.kind == piece_codec.UNIGRAM and codec.file.byte_fallback
     for text in ["the there", "he a ab bab", "there's é x", "", "tttt", "the  the"]:
-        ids, differ, _ = codec.encode([text])[0]
+        ids, differ, _ = codec.encode(pa.array([text], pa.string()))[0]
         assert np.frombuffer(ids, "<u4").tolist() == library.encode(text)
         assert differ == 0, text
