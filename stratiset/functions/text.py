@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,12 +23,11 @@ def long_words(text: Column, least: int = 4) -> Column:
 
 def byte_prefix(text: Column, n: int = 2000) -> Column:
     """The first ``n`` bytes of the UTF-8 text, without what is cut in the middle of a character."""
-    head = F.make_valid_utf8(F.substring(F.encode(text, "UTF-8"), 1, n).cast("string"))
-    return F.when(F.octet_length(text) <= n, text).otherwise(F.regexp_replace(head, "�$", ""))
-
-
-def char_prefix(text: Column, n: int = 2000) -> Column:
-    return F.substring(text, 1, n)
+    data = F.encode(text, "UTF-8")
+    head = F.make_valid_utf8(F.substring(data, 1, n).cast("string"))
+    # a byte that goes on with a character follows: the mark at the end stands for that character's beginning
+    goes_on = F.hex(F.substring(data, n + 1, 1)).between("80", "BF")
+    return F.when(F.octet_length(text) <= n, text).when(goes_on, F.regexp_replace(head, "\uFFFD$", "")).otherwise(head)
 
 
 def preview(text: Column, n: int = 4) -> Column:
@@ -35,12 +36,9 @@ def preview(text: Column, n: int = 4) -> Column:
 
 
 def last_number(log: Column, unit: str) -> Column:
-    """The last number that stands before or after ``unit`` in a log, as a double; null without one."""
-    number = r"([0-9]+(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?)"
-    before = F.regexp_extract_all(log, F.lit(number + r"\s*" + unit), 1)
-    after = F.regexp_extract_all(log, F.lit(unit + r"\D{0,3}?\s*" + number), 1)
-    last = lambda found: F.try_element_at(found, F.lit(-1)).cast("double")
-    return F.coalesce(last(before), last(after))
+    """The last number that a log gives ``unit`` (``unit = 1.5`` or ``unit: 1.5``, in either case), as a double; null without one."""
+    found = F.regexp_extract_all(log, F.lit("(?i)" + re.escape(unit) + r"\s*[:=]\s*([0-9]+(?:\.[0-9]+)?)"), 1)
+    return F.try_element_at(found, F.lit(-1)).cast("double")
 
 
 def whole_number(word: Column) -> Column:

@@ -49,11 +49,11 @@ def history(steps: DataFrame) -> DataFrame:
     return steps.groupBy(canonical("items").alias("items")).agg(F.min("step").alias("first_step"))
 
 
-def running_union(steps: DataFrame, width: int = ordering.WIDTH) -> DataFrame:
+def running_union(steps: DataFrame) -> DataFrame:
     """(step, is_new, family_size): the family after each step."""
     first = history(steps).groupBy(F.col("first_step").alias("step")).agg(F.count("*").alias("new"))
     rows = steps.select("step").join(first, "step", "left").select("step", F.coalesce("new", F.lit(0)).alias("new"))
-    out = ordering.running_sum(rows, ordering.number_bucket("step", width), ["step"], F.col("new"), "family_size")
+    out = ordering.running_sum(rows, ordering.number_buckets("step"), ["step"], F.col("new"), "family_size")
     return out.select("step", (F.col("new") > 0).alias("is_new"), "family_size")
 
 

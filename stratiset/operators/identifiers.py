@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from ..functions.packing import pack
 from . import ordering
@@ -11,7 +14,7 @@ from . import ordering
 
 def page_map(counts: DataFrame) -> DataFrame:
     """(master, global_from, global_to) from (master, n): versions numbered one after another, masters in order; half-open."""
-    rows = ordering.running_sum(counts, ordering.number_bucket("master"), ["master"], F.col("n"), "global_to")
+    rows = ordering.running_sum(counts, ordering.number_buckets("master"), ["master"], F.col("n"), "global_to")
     return rows.select("master", (F.col("global_to") - F.col("n")).cast("bigint").alias("global_from"), F.col("global_to").cast("bigint").alias("global_to"))
 
 
@@ -34,7 +37,7 @@ def to_global(pairs: DataFrame, pages: DataFrame, mode: str = "global", strict:
     return rows.withColumn("docid", place).drop("global_from", "global_to")
 
 
-def from_global(ids: DataFrame, pages: DataFrame, width: int = ordering.WIDTH) -> DataFrame:
+def from_global(ids: DataFrame, pages: DataFrame) -> DataFrame:
     """``ids`` (docid) with master and rel.
 
     Ids and page starts are ordered together in buckets of the id space; a bucket
@@ -42,11 +45,7 @@ def from_global(ids: DataFrame, pages: DataFrame, width: int = ordering.WIDTH) -
     """
     starts = pages.filter("global_to > global_from").select(F.col("global_from").alias("at"), F.lit(0).alias("side"), F.struct("master", "global_from", "global_to").alias("page"))
     asked = ids.select(F.col("docid").alias("at"), F.lit(1).alias("side"), F.lit(None).cast("struct<master:bigint,global_from:bigint,global_to:bigint>").alias("page"))
-    rows = starts.unionByName(asked).withColumn("bucket", ordering.number_bucket("at", width))
-    lasts = rows.groupBy("bucket").agg(F.max_by("page", F.when(F.col("side") == 0, F.col("at"))).alias("last"))
-    before = lasts.select("bucket", F.last("last", True).over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
-    inside = Window.partitionBy("bucket").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, 0)
-    found = rows.join(before, "bucket").withColumn("p", F.coalesce(F.last("page", True).over(inside), "before")).filter("side = 1")
+    found = ordering.known(starts.unionByName(asked), ordering.number_buckets("at"), ["at", "side"], "page", "p").filter("side = 1")
     ok = F.col("at") < F.col("p.global_to")
     return found.select(F.col("at").alias("docid"), F.when(ok, F.col("p.master")).alias("master"), F.when(ok, F.col("at") - F.col("p.global_from")).alias("rel"))
 
@@ -69,8 +68,7 @@ def item_frequency(sets: DataFrame, items: str = "items") -> DataFrame:
 def frequency_rank(frequency: DataFrame) -> DataFrame:
     """(item, n, rank): 1 for the most frequent; equals by item. Ranks come from bucketed counts, not from one global sort."""
     # buckets follow falling frequency; one holds all items of a frequency and a range of items
-    bucket = F.struct((-F.col("n")).alias("f"), ordering.number_bucket("item").alias("i"))
-    return ordering.numbered(frequency, bucket, [F.desc("n"), F.asc("item")], "rank", 1)
+    return ordering.numbered(frequency, [-F.col("n"), ordering.number_buckets("item")[0]], [F.desc("n"), F.asc("item")], "rank", 1)
 
 
 def rerank(sets: DataFrame, items: str = "items") -> DataFrame:
@@ -81,11 +79,15 @@ def rerank(sets: DataFrame, items: str = "items") -> DataFrame:
     return rows.groupBy(*keyed).agg(F.array_sort(F.collect_set("rank")).alias(items))
 
 
+@F.pandas_udf(ArrayType(LongType()))
+def _sums(lists: pd.Series) -> pd.Series:
+    """Running sums of each list. No built-in function makes them in time linear in a list's length."""
+    return lists.map(lambda x: None if x is None else np.cumsum(x, dtype=np.int64))
+
+
 def undelta(lists: DataFrame, items: str) -> DataFrame:
     """Lists of gaps as lists of running sums."""
-    grow = lambda acc, x: F.struct((acc.s + x).alias("s"), F.concat(acc.a, F.array(acc.s + x)).alias("a"))
-    start = F.struct(F.lit(0).cast("bigint").alias("s"), F.array().cast("array<bigint>").alias("a"))
-    return lists.withColumn(items, F.aggregate(F.col(items).cast("array<bigint>"), start, grow, lambda acc: acc.a))
+    return lists.withColumn(items, _sums(F.col(items).cast("array<bigint>")))
 
 
 def cut_prefix(masters: DataFrame, target: int, inclusive: bool) -> DataFrame:
@@ -94,7 +96,7 @@ def cut_prefix(masters: DataFrame, target: int, inclusive: bool) -> DataFrame:
     Inclusive: to the master that reaches the target. Exclusive: as many as stay
     within it, one at least.
     """
-    rows = ordering.running_sum(masters, ordering.number_bucket("master"), ["master"], F.col("bytes"), "running_bytes")
+    rows = ordering.running_sum(masters, ordering.number_buckets("master"), ["master"], F.col("bytes"), "running_bytes")
     if inclusive:
         return rows.filter(F.col("running_bytes") - F.col("bytes") < target)
     first = masters.agg(F.min("master").alias("m")).scalar()

@@ -62,31 +62,36 @@ def diagrams(sets: DataFrame, key: str, column: str, descending: bool = True) ->
     return sets.select(key, column).distinct().groupBy(key).applyInPandas(nodes, f"`{key}` {kind}, id bigint, item bigint, high bigint, low bigint")
 
 
-def _digests(items: Column) -> Column:
-    """Array of two 64-bit digests of the first 0, 1, ... all items of an array."""
-    start = F.array(F.struct(F.lit(1).cast("bigint").alias("a"), F.lit(2).cast("bigint").alias("b")))
-    last = lambda acc: F.element_at(acc, F.lit(-1))
-    grow = lambda acc, x: F.concat(acc, F.array(F.struct(F.xxhash64(last(acc).a, x).alias("a"), F.xxhash64(x, last(acc).b).alias("b"))))
-    return F.aggregate(items, start, grow)
+def _digest(*values: Column | str) -> list[Column]:
+    """Two 64-bit digests."""
+    return [F.xxhash64(F.lit(seed), *values) for seed in (1, 2)]
 
 
 def family_nodes(sets: DataFrame, key: str, column: str, descending: bool = True) -> DataFrame:
     """(key, n_nodes): the size of the reduced diagram of each key's family.
 
     A node is an item and the family below it: all ends of sets that begin alike
-    and go on with this item or one after it. Families are told apart by 128 bits,
-    the exclusive-or of the digests of their members, so no task needs a whole
-    family: sets are cut into (beginning, next item, digest of the end), combined
-    before the shuffle, and only the next items of one beginning are ordered.
+    and go on with this item or one after it. Beginnings and ends are known by the
+    exclusive-or of 128-bit digests of their items, families by that of digests of
+    their ends, so no task needs a whole family: sets are cut into (beginning, next
+    item, end), one row an item, combined before the shuffle, and only the next
+    items of one beginning are ordered.
     """
     order = F.array_sort(F.array_distinct(column))
     rows = sets.select(F.col(key).alias("__k"), (F.reverse(order) if descending else order).alias("__s")).distinct()
-    rows = rows.select("__k", "__s", _digests(F.col("__s")).alias("__p"), F.reverse(_digests(F.reverse("__s"))).alias("__e"))
     # one row more than there are items: a set also ends
-    cut = rows.select("__k", F.explode(F.arrays_zip("__p", "__e", "__s")).alias("x")).select("__k", F.col("x.__p").alias("p"), F.col("x.__s").alias("item"), "x.__e.a", "x.__e.b")
-    nexts = cut.groupBy("__k", "p", "item").agg(F.bit_xor("a").alias("a"), F.bit_xor("b").alias("b"))
-    after = Window.partitionBy("__k", "p").orderBy(F.col("item").asc_nulls_first() if descending else F.col("item").desc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    nodes = nexts.select("__k", "item", F.bit_xor("a").over(after).alias("a"), F.bit_xor("b").over(after).alias("b")).distinct()
+    a, b = _digest("__k", "__s")
+    rows = rows.select("__k", a.alias("sa"), b.alias("sb"), F.posexplode(F.concat("__s", F.array(F.lit(None)))).alias("at", "item"))
+    own = Window.partitionBy("__k", "sa", "sb")
+    upto = own.orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    nothing = F.lit(0).cast("bigint")
+    cut = rows.select("__k", "item", "at", "sa", "sb", *(F.when(F.col("item").isNull(), nothing).otherwise(d).alias(f"i{k}") for k, d in enumerate(_digest("item"))))
+    cut = cut.select("__k", "item", *(F.coalesce(F.bit_xor(f"i{k}").over(upto), nothing).alias(f"p{k}") for k in (0, 1)), *(F.bit_xor(f"i{k}").over(own).alias(f"w{k}") for k in (0, 1)))
+    # an end is what the whole set has beside the beginning
+    ends = [F.col(f"w{k}").bitwiseXOR(F.col(f"p{k}")) for k in (0, 1)]
+    nexts = cut.groupBy("__k", "p0", "p1", "item").agg(*(F.bit_xor(d).alias(f"e{k}") for k, d in enumerate(_digest(*ends))))
+    after = Window.partitionBy("__k", "p0", "p1").orderBy(F.col("item").asc_nulls_first() if descending else F.col("item").desc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    nodes = nexts.select("__k", "item", *(F.bit_xor(f"e{k}").over(after).alias(f"e{k}") for k in (0, 1))).distinct()
     return nodes.groupBy(F.col("__k").alias(key)).agg(F.count("item").alias("n_nodes"))
 
 
@@ -98,19 +103,17 @@ def pool_nodes(sets: DataFrame, column: str) -> DataFrame:
 def chain_nodes(phi: DataFrame) -> DataFrame:
     """One row: nodes of the shared chains of (master, pattern) by ascending master.
 
-    A node is a (master, pattern) on top of a node, so nodes are distinct prefixes;
-    a prefix is known by a digest rolled over its chain, linear in its length.
+    A node is a (master, pattern) on top of a node, so nodes are distinct prefixes.
+    A chain is in the order of masters, so a prefix is known by its pairs: by the
+    exclusive-or of their 128-bit digests, one row a pair.
     """
-    pairs = F.array_sort(F.collect_list(F.struct("master", "pattern_id")))
-    roll = lambda acc, x: F.concat(acc, F.array(F.md5(F.concat_ws("|", F.try_element_at(acc, F.lit(-1)), x.master.cast("string"), x.pattern_id.cast("string")))))
-    chains = phi.groupBy("term").agg(pairs.alias("chain"))
-    nodes = chains.select(F.explode(F.aggregate("chain", F.array().cast("array<string>"), roll)).alias("node"))
-    return nodes.distinct().agg(F.count("*").alias("chain_nodes"))
+    upto = Window.partitionBy("term").orderBy("master", "pattern_id").rowsBetween(Window.unboundedPreceding, 0)
+    return phi.select(*(F.bit_xor(d).over(upto).alias(f"d{k}") for k, d in enumerate(_digest("master", "pattern_id")))).distinct().agg(F.count("*").alias("chain_nodes"))
 
 
 def router(terms: DataFrame) -> DataFrame:
     """(term, idx, height, bits, decoded): each term's place as bits, most significant first, of ceil(log2(n)) of them."""
-    bucket = ordering.number_bucket("term") if dict(terms.dtypes)["term"] != "string" else ordering.text_buckets("term")
+    bucket = ordering.number_buckets("term") if dict(terms.dtypes)["term"] != "string" else ordering.text_buckets("term")
     rows = ordering.numbered(terms.select("term").distinct(), bucket, ["term"], "idx", 0)
     n = rows.agg(F.count("*").alias("n"))
     rows = rows.select("term", "idx", n.scalar().alias("n"))
@@ -122,7 +125,7 @@ def router(terms: DataFrame) -> DataFrame:
 
 def item_pairs(phi: DataFrame) -> DataFrame:
     """(master, pattern_id, item): the distinct pairs as items, numbered from 1 by master, then pattern."""
-    return ordering.numbered(phi.select("master", "pattern_id").distinct(), ordering.number_bucket("master"), ["master", "pattern_id"], "item", 1)
+    return ordering.numbered(phi.select("master", "pattern_id").distinct(), ordering.number_buckets("master"), ["master", "pattern_id"], "item", 1)
 
 
 def term_metrics(snaps: DataFrame) -> DataFrame:

@@ -30,19 +30,36 @@ def text_buckets(text: Column | str) -> list[Column]:
     return [_number(F.hex(F.substring(data, 1, 3)), 6), _number(F.hex(F.substring(data, 4, 5)), 10)]
 
 
-def number_bucket(number: Column | str, width: int = WIDTH) -> Column:
-    """Follows the order of numbers; nulls come first."""
-    number = F.col(number) if isinstance(number, str) else number
-    return F.coalesce(F.floor(number / width).cast("bigint"), F.lit(-(1 << 62)))
+def number_buckets(number: Column | str) -> list[Column]:
+    """Follow the order of whole numbers by their length in bits and their first ten bits, then their first twenty.
 
+    At most some 130,000 numbers of the first kind and 1,024 of the second inside
+    each, however dense or sparse the ids are; nulls come first.
+    """
+    number = (F.col(number) if isinstance(number, str) else number).cast("bigint")
+    size = F.when(number < 0, F.bitwise_not(number)).otherwise(number)
+    length = F.floor(F.log2(F.greatest(size, F.lit(1)))).cast("int")
+    first = lambda bits: F.call_function("shiftright", size, F.greatest(length - (bits - 1), F.lit(0)))
+    sign = lambda c: F.when(number < 0, -c - 1).otherwise(c)
+    return [F.coalesce(sign(length.cast("bigint") * 2048 + first(10)), F.lit(-(1 << 62))), F.coalesce(sign(first(20)), F.lit(0))]
 
-Bucket = Column | Sequence[Column]
 
+def pair_buckets(term: str, master: str, textual: bool) -> list[Column]:
+    """Follow the order of (term, master): a term is a bucket of its own, and one with large masters is cut among these."""
+    outer, inner = text_buckets(term) if textual else number_buckets(term)
+    return [outer, F.struct(inner.alias("near"), F.col(term).alias("term"), F.when(F.col(master) >= WIDTH, number_buckets(master)[0]).otherwise(0).alias("part"))]
 
-def _cut(df: DataFrame, bucket: Bucket) -> tuple[DataFrame, list[str]]:
-    levels = [bucket] if isinstance(bucket, Column) else list(bucket)
-    names = [f"__bucket{k}" for k in range(len(levels))]
-    return df.select("*", *(c.alias(n) for c, n in zip(levels, names))), names
+
+#: Levels of buckets, outermost first, or the columns that :func:`cut` made of them.
+Bucket = Sequence[Column] | Sequence[str]
+
+
+def cut(df: DataFrame, bucket: Bucket) -> tuple[DataFrame, list[str]]:
+    """``df`` with a column per level, and their names; as it is where they are there already."""
+    if all(isinstance(c, str) for c in bucket):
+        return df, list(bucket)
+    names = [f"__bucket{k}" for k in range(len(bucket))]
+    return df.select("*", *(c.alias(n) for c, n in zip(bucket, names))), names
 
 
 def _sum_before(totals: DataFrame, names: list[str]) -> DataFrame:
@@ -67,26 +84,59 @@ def _last_before(lasts: DataFrame, names: list[str]) -> DataFrame:
     return near.join(far, outer).select(*names, F.when(F.col("__first"), F.col("__far")).otherwise(F.col("__before")).alias("__before"))
 
 
+def _known_before(lasts: DataFrame, names: list[str]) -> DataFrame:
+    """The buckets of ``lasts`` with __before, the last __last before that is not null."""
+    *outer, inner = names
+    window = (Window.partitionBy(*outer) if outer else Window).orderBy(inner).rowsBetween(Window.unboundedPreceding, -1)
+    near = lasts.select(*names, F.last("__last", True).over(window).alias("__before"))
+    if not outer:
+        return near
+    far = _known_before(lasts.groupBy(*outer).agg(F.max_by("__last", F.when(F.col("__last").isNotNull(), F.col(inner))).alias("__last")), outer).withColumnRenamed("__before", "__far")
+    return near.join(far, outer).select(*names, F.coalesce("__before", "__far").alias("__before"))
+
+
+def _left(rows: DataFrame, bucket: Bucket, names: list[str], *own: str) -> DataFrame:
+    """Without the helpers' columns; buckets that the caller brought stay."""
+    return rows.drop(*own, *(n for n in names if not any(isinstance(c, str) and c == n for c in bucket)))
+
+
 def running_sum(df: DataFrame, bucket: Bucket, order: Sequence[Column | str], value: Column, out: str) -> DataFrame:
     """``df`` with the sum of ``value`` over all rows up to and with this one."""
-    rows, names = _cut(df.withColumn("__value", value), bucket)
+    rows, names = cut(df.withColumn("__value", value), bucket)
     before = _sum_before(rows.groupBy(*names).agg(F.sum("__value").alias("__total")), names)
     inside = Window.partitionBy(*names).orderBy(*_order(order)).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.join(before, names).withColumn(out, F.sum("__value").over(inside) + F.col("__before")).drop(*names, "__value", "__before")
+    rows = rows.withColumn("__near", F.sum("__value").over(inside)).join(before, names)
+    return _left(rows.withColumn(out, F.col("__near") + F.col("__before")), bucket, names, "__value", "__near", "__before")
 
 
 def numbered(df: DataFrame, bucket: Bucket, order: Sequence[Column | str], out: str, start: int = 1) -> DataFrame:
     """``df`` with gapless numbers that follow the order."""
-    rows, names = _cut(df, bucket)
+    rows, names = cut(df, bucket)
     before = _sum_before(rows.groupBy(*names).agg(F.count("*").alias("__total")), names)
-    place = F.row_number().over(Window.partitionBy(*names).orderBy(*_order(order)))
-    return rows.join(before, names).withColumn(out, (place + F.col("__before") + start - 1).cast("bigint")).drop(*names, "__before")
+    rows = rows.withColumn("__near", F.row_number().over(Window.partitionBy(*names).orderBy(*_order(order)))).join(before, names)
+    return _left(rows.withColumn(out, (F.col("__near") + F.col("__before") + start - 1).cast("bigint")), bucket, names, "__near", "__before")
 
 
 def lagged(df: DataFrame, bucket: Bucket, order: Sequence[Column | str], value: Column | str, out: str) -> DataFrame:
     """``df`` with ``value`` of the row before; null for the first row of all."""
-    rows, names = _cut(df.withColumn("__value", value if isinstance(value, Column) else F.col(value)), bucket)
+    rows, names = cut(df.withColumn("__value", value if isinstance(value, Column) else F.col(value)), bucket)
     before = _last_before(rows.groupBy(*names).agg(F.max_by("__value", F.struct(*_order(order))).alias("__last")), names)
     inside = Window.partitionBy(*names).orderBy(*_order(order))
-    first = F.row_number().over(inside) == 1
-    return rows.join(before, names).withColumn(out, F.when(first, F.col("__before")).otherwise(F.lag("__value").over(inside))).drop(*names, "__value", "__before")
+    rows = rows.withColumn("__near", F.lag("__value").over(inside)).withColumn("__first", F.row_number().over(inside) == 1).join(before, names)
+    return _left(rows.withColumn(out, F.when(F.col("__first"), F.col("__before")).otherwise(F.col("__near"))), bucket, names, "__value", "__near", "__first", "__before")
+
+
+def known(df: DataFrame, bucket: Bucket, order: Sequence[Column | str], value: Column | str, out: str) -> DataFrame:
+    """``df`` with the last ``value`` up to and with this row that is not null."""
+    rows, names = cut(df.withColumn("__value", value if isinstance(value, Column) else F.col(value)), bucket)
+    place = F.when(F.col("__value").isNotNull(), F.struct(*_order(order)))
+    before = _known_before(rows.groupBy(*names).agg(F.max_by("__value", place).alias("__last")), names)
+    inside = Window.partitionBy(*names).orderBy(*_order(order)).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("__near", F.last("__value", True).over(inside)).join(before, names)
+    return _left(rows.withColumn(out, F.coalesce("__near", "__before")), bucket, names, "__value", "__near", "__before")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over as many partitions as there are cores where its plan has fewer (a small file is one partition); larger inputs are not shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

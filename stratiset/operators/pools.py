@@ -27,7 +27,7 @@ def snapshots(posting: DataFrame) -> DataFrame:
 def pattern_pool(pairs: DataFrame) -> DataFrame:
     """(pattern_id, rels, cardinality, use_count): distinct version sets, numbered from 0 in the order (term, master) first uses them."""
     pool = pairs.groupBy("rels").agg(F.count("*").alias("use_count"), F.min(F.struct("term", "master")).alias("first"))
-    bucket = ordering.number_bucket("first.term") if dict(pairs.dtypes)["term"] != "string" else ordering.text_buckets("first.term")
+    bucket = ordering.pair_buckets("first.term", "first.master", dict(pairs.dtypes)["term"] == "string")
     pool = ordering.numbered(pool, bucket, ["first"], "pattern_id", 0)
     return pool.select("pattern_id", "rels", F.size("rels").cast("bigint").alias("cardinality"), "use_count")
 
@@ -40,7 +40,7 @@ def phi(pairs: DataFrame, pool: DataFrame) -> DataFrame:
 def snapshot_pool(snaps: DataFrame) -> DataFrame:
     """(snap_id, masters): distinct master sets, numbered from 1 in the order (term, rel) first shows them; 0 is the empty set."""
     pool = snaps.groupBy("masters").agg(F.min(F.struct("term", "rel")).alias("first"))
-    bucket = ordering.number_bucket("first.term") if dict(snaps.dtypes)["term"] != "string" else ordering.text_buckets("first.term")
+    bucket = ordering.pair_buckets("first.term", "first.rel", dict(snaps.dtypes)["term"] == "string")
     pool = ordering.numbered(pool, bucket, ["first"], "snap_id", 1).select("snap_id", "masters")
     empty = snaps.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("snap_id"), F.array().cast("array<bigint>").alias("masters"))
     return empty.unionByName(pool)

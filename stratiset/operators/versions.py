@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sets as S
@@ -15,28 +15,47 @@ THRESHOLD, CONTAINED = 0.35, 0.2
 def _order(by: str) -> tuple[ordering.Bucket, list[str]]:
     if by == "text":
         return ordering.text_buckets("text"), ["text", "doc_id"]
-    return ordering.number_bucket("doc_id"), ["doc_id"]
+    return ordering.number_buckets("doc_id"), ["doc_id"]
+
+
+def _similar(docs: DataFrame, head: Column, measure: str, bucket: ordering.Bucket, order: list[str]) -> DataFrame:
+    """``docs`` (doc_id, text, and buckets that are columns) with their similarity to the one before."""
+    words = T.long_words(head).alias("words")
+    rows = ordering.lagged(ordering.spread(docs).select("*", words), bucket, order, F.col("words"), "before")
+    value = S.jaccard(F.col("before"), F.col("words")) if measure == "jaccard" else S.containment(F.col("before"), F.col("words"))
+    return rows.withColumn("similarity", F.when(F.col("before").isNotNull(), value)).drop("words", "before")
 
 
 def adjacent_similarity(docs: DataFrame, head: Column, measure: str = "jaccard", by: str = "text") -> DataFrame:
     """(doc_id, text, similarity) with the document before, in the order of (text, doc_id) or of ``doc_id``; null for the first."""
-    rows = docs.select("doc_id", "text", T.long_words(head).alias("words"))
-    bucket, order = _order(by)
-    rows = ordering.lagged(rows, bucket, order, F.col("words"), "before")
-    value = S.jaccard(F.col("before"), F.col("words")) if measure == "jaccard" else S.containment(F.col("before"), F.col("words"))
-    return rows.select("doc_id", "text", F.when(F.col("before").isNotNull(), value).alias("similarity"))
+    return _similar(docs.select("doc_id", "text"), head, measure, *_order(by)).select("doc_id", "text", "similarity")
 
 
-def articles(similar: DataFrame, threshold: float = THRESHOLD, by: str = "text") -> DataFrame:
-    """(doc_id, article, version): a new article where the similarity is below the threshold; versions count from 0."""
-    new = F.when(F.col("similarity").isNull() | (F.col("similarity") < threshold), 1).otherwise(0)
+def articles(docs: DataFrame, head: Column, threshold: float = THRESHOLD, measure: str = "jaccard", by: str = "text") -> DataFrame:
+    """(doc_id, article, version): a new article where the similarity to the document before is below the threshold; versions count from 0.
+
+    Documents are dealt to buckets once, for the document before, for the sum of
+    beginnings and for the place in the order. A version is the distance of its
+    place from its article's first, so no task needs a whole article.
+    """
     bucket, order = _order(by)
-    rows = ordering.running_sum(similar, bucket, order, new, "article")
-    version = F.row_number().over(Window.partitionBy("article").orderBy(*order)) - 1
-    return rows.select("doc_id", F.col("article").cast("bigint").alias("article"), version.cast("bigint").alias("version"))
+    rows, names = ordering.cut(docs.select("doc_id", "text"), bucket)
+    rows = _similar(rows, head, measure, names, order)
+    new = F.when(F.col("similarity").isNull() | (F.col("similarity") < threshold), 1).otherwise(0)
+    rows = ordering.numbered(ordering.running_sum(rows, names, order, new, "article"), names, order, "place", 0).select("doc_id", F.col("article").cast("bigint").alias("article"), "place")
+    first = rows.groupBy("article").agg(F.min("place").alias("first"))
+    return rows.join(first, "article").select("doc_id", "article", (F.col("place") - F.col("first")).alias("version"))
+
+
+def _words(docs: DataFrame) -> DataFrame:
+    return ordering.spread(docs.select("doc_id", "text")).select(F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("word"), "doc_id")
 
 
 def inverted_index(docs: DataFrame) -> DataFrame:
-    """(word, docs): ascending ids of the documents with each token."""
-    words = docs.select(F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("word"), "doc_id")
-    return words.groupBy("word").agg(F.array_sort(F.collect_set("doc_id")).alias("docs"))
+    """(word, docs): ascending ids of the documents with each token. A list is one array; :func:`posting_blocks` bounds them."""
+    return _words(docs).groupBy("word").agg(F.array_sort(F.collect_set("doc_id")).alias("docs"))
+
+
+def posting_blocks(docs: DataFrame, width: int = 1 << 16) -> DataFrame:
+    """(word, block, docs): the same lists in blocks of ``width`` ids, so that a word of every document is no hot row."""
+    return _words(docs).groupBy("word", F.floor(F.col("doc_id") / width).alias("block")).agg(F.array_sort(F.collect_set("doc_id")).alias("docs"))

@@ -93,7 +93,6 @@ def build_index(spark: SparkSession, text_path: str, borders_path: str, log_path
 
 def detect_versions(docs: DataFrame, out_folder: str, threshold: float = versions.THRESHOLD) -> DataFrame:
     """(doc_id, article, version) of documents in the order of their ids, also written as CSV."""
-    similar = versions.adjacent_similarity(docs, T.byte_prefix(F.col("text")), by="doc_id")
-    found = versions.articles(similar, threshold, by="doc_id")
+    found = versions.articles(docs, T.byte_prefix(F.col("text")), threshold, by="doc_id")
     sinks.append_metrics(found, out_folder)
     return found

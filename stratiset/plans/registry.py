@@ -510,13 +510,18 @@ def e14_inverted_index(spark, d):
     return versions.inverted_index(t.table(spark, d, "documents")).select("word", joined("docs").alias("docs"))
 
 
-_WORDS = r"s AS (SELECT doc_id, text, list_distinct(list_filter(regexp_split_to_array(lower(substr(text, 1, 2000)), '[\s\x{0085}\p{Z}]+'), lambda x: length(x) > 3)) AS w FROM documents), l AS (SELECT *, lag(w) OVER (ORDER BY text, doc_id) AS b FROM s)"
+@query(f"SELECT w AS word, (doc_id // 64)::BIGINT AS block, {t.text('list_sort(list(DISTINCT doc_id))')} AS docs FROM (SELECT unnest({t.TOKENS}) AS w, doc_id FROM documents) GROUP BY w, doc_id // 64")
+def e14_posting_blocks(spark, d):
+    return versions.posting_blocks(t.table(spark, d, "documents"), 64).select("word", "block", joined("docs").alias("docs"))
+
+
+_WORDS = r"s AS (SELECT doc_id, text, list_distinct(list_filter(regexp_split_to_array(lower(left(text, list_max(list_filter(range(0, 2001), lambda i: strlen(left(text, i)) <= 2000)))), '[\s\x{0085}\p{Z}]+'), lambda x: length(x) > 3)) AS w FROM documents), l AS (SELECT *, lag(w) OVER (ORDER BY text, doc_id) AS b FROM s)"
 _JAC = "CASE WHEN b IS NULL THEN NULL WHEN len(w) > 0 AND len(b) > 0 THEN len(list_intersect(b, w))::DOUBLE / len(list_distinct(list_concat(b, w))) ELSE 0.0 END"
 _CON = "CASE WHEN b IS NULL THEN NULL WHEN len(w) > 0 AND len(b) > 0 THEN len(list_intersect(b, w))::DOUBLE / len(b) ELSE 0.0 END"
 
 
 def _similar(spark, d, measure="jaccard"):
-    return versions.adjacent_similarity(t.table(spark, d, "documents"), T.char_prefix(col("text")), measure)
+    return versions.adjacent_similarity(t.table(spark, d, "documents"), T.byte_prefix(col("text")), measure)
 
 
 @query(f"WITH {_WORDS} SELECT doc_id, round({_JAC}, 9) AS similarity FROM l")
@@ -526,7 +531,7 @@ def f3_adjacent_jaccard(spark, d):
 
 @query(f"WITH {_WORDS}, a AS (SELECT doc_id, text, sum(CASE WHEN coalesce({_JAC}, 0) < {versions.THRESHOLD} THEN 1 ELSE 0 END) OVER (ORDER BY text, doc_id) AS article FROM l) SELECT doc_id, article::BIGINT AS article, row_number() OVER (PARTITION BY article ORDER BY text, doc_id) - 1 AS version FROM a")
 def f4_article_versions(spark, d):
-    return versions.articles(_similar(spark, d))
+    return versions.articles(t.table(spark, d, "documents"), T.byte_prefix(col("text")))
 
 
 @query(rf"WITH {_WORDS} SELECT doc_id, round({_CON}, 9) AS similarity, coalesce({_CON}, 0) < {versions.CONTAINED} AS starts_article, array_to_string(list_filter(regexp_split_to_array(text, '[\s\x{{0085}}\p{{Z}}]+'), lambda x: x <> '')[1:4], ' ') AS preview FROM l")
@@ -588,11 +593,6 @@ def f10_cut_exclusive(spark, d):
     return identifiers.cut_prefix(_bytes(spark, d), CUT_BYTES, False)
 
 
-@query()
-def c10_sample_terms(spark, d):
-    return sampling.sample_rows(t.conv(spark, d).select("term").distinct(), 30, 1).orderBy("term")
-
-
 @query()
 def k1_random_sets(spark, d):
     return sampling.random_sets(spark).select("set_id", joined("items").alias("items"))

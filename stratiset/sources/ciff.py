@@ -154,3 +154,45 @@ def records(spark: SparkSession, path: str) -> DataFrame:
         yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.string(), pa.int32()))], names=["path", *RECORD])
 
     return _scan(spark, path, of, "path string, docid int, collection_docid string, doclength int")
+
+
+def encoded(number: int) -> bytes:
+    """A number as a varint."""
+    out = bytearray()
+    while number > 127:
+        out.append(number & 127 | 128)
+        number >>= 7
+    out.append(number)
+    return bytes(out)
+
+
+def _field(number: int, value: int | bytes) -> bytes:
+    if isinstance(value, bytes):
+        return encoded(number << 3 | 2) + encoded(len(value)) + value
+    return encoded(number << 3) + encoded(value)
+
+
+def _packed(number: int, values: Iterable[int]) -> bytes:
+    data = b"".join(map(encoded, values))
+    return _field(number, data) if data else b""
+
+
+def write(lists: DataFrame, about: DataFrame, path: str) -> None:
+    """Write (term, docids ascending, freqs) and records (docid, collection_docid, doclength) as one such file, lists by term, records by id.
+
+    As every single file it is written by the driver, which holds one partition at a time.
+    """
+    from .sinks import Sink
+
+    n_lists, n_docs = lists.count(), about.count()
+    with Sink(lists.sparkSession, path) as out:
+
+        def put(data: bytes) -> None:
+            out.write(encoded(len(data)) + data)
+
+        put(_field(1, 1) + _field(2, n_lists) + _field(3, n_docs) + _field(4, n_lists) + _field(5, n_docs))
+        for row in lists.orderBy("term").toLocalIterator(prefetchPartitions=True):
+            gaps = np.diff(np.array(row["docids"], np.int64), prepend=0).tolist()
+            put(_field(1, row["term"].encode()) + _field(2, len(gaps)) + _packed(3, gaps) + _packed(4, row["freqs"]))
+        for row in about.orderBy("docid").toLocalIterator(prefetchPartitions=True):
+            put(_field(1, row["docid"]) + _field(2, row["collection_docid"].encode()) + _field(3, row["doclength"]))

@@ -17,7 +17,7 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     that reads the block, so no task sees more than a block.
     """
     rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("__f"), F.col("_metadata.file_block_start").alias("__b"), F.monotonically_increasing_id().alias("__i"))
-    return ordering.numbered(rows, F.struct("__f", "__b"), ["__i"], "line_no", 0).select("line_no", "value")
+    return ordering.numbered(rows, [F.struct("__f", "__b")], ["__i"], "line_no", 0).select("line_no", "value")
 
 
 def leading_numbers(line: Column) -> Column:
@@ -31,7 +31,7 @@ def leading_numbers(line: Column) -> Column:
 def sets(spark: SparkSession, path: str) -> DataFrame:
     """(set_id, items): a set per line of numbers between white space; lines without a number are no sets."""
     rows = lines(spark, path).select("line_no", canonical(leading_numbers(F.col("value"))).alias("items")).filter(F.size("items") > 0)
-    return ordering.numbered(rows, ordering.number_bucket("line_no"), ["line_no"], "set_id", 0).select("set_id", "items")
+    return ordering.numbered(rows, ordering.number_buckets("line_no"), ["line_no"], "set_id", 0).select("set_id", "items")
 
 
 def loose_sets(spark: SparkSession, path: str) -> DataFrame:
@@ -40,7 +40,7 @@ def loose_sets(spark: SparkSession, path: str) -> DataFrame:
     numbers = F.transform(tokens, lambda x: x.try_cast("bigint"))
     rows = lines(spark, path).select("line_no", numbers.alias("n")).filter((F.size("n") > 0) & F.forall("n", lambda x: x.isNotNull()))
     rows = rows.select("line_no", canonical("n").alias("items"))
-    return ordering.numbered(rows, ordering.number_bucket("line_no"), ["line_no"], "set_id", 0).select("set_id", "items")
+    return ordering.numbered(rows, ordering.number_buckets("line_no"), ["line_no"], "set_id", 0).select("set_id", "items")
 
 
 def posting_lists(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
@@ -54,7 +54,7 @@ def posting_lists(spark: SparkSession, path: str, strict: bool = True) -> DataFr
     rows = lines(spark, path).filter(F.col("value").rlike(r"^\s*T\[\d+\]\s*:"))
     rows = rows.select("line_no", F.regexp_extract("value", r"^\s*T\[(\d+)\]", 1).cast("bigint").alias("term"), payload.alias("p"))
     if strict:
-        rows = ordering.lagged(rows, ordering.number_bucket("line_no"), ["line_no"], "term", "before")
+        rows = ordering.lagged(rows, ordering.number_buckets("line_no"), ["line_no"], "term", "before")
         said = F.concat_ws(" ", F.lit("term"), F.col("term").cast("string"), F.lit("after"), F.col("before").cast("string"))
         rows = rows.withColumn("term", F.when(F.col("before") >= F.col("term"), F.raise_error(said).cast("bigint")).otherwise(F.col("term"))).drop("before")
     pair = r"\(\d+\s*,\s*\d+\)"

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .binary_lists import _opened
 from .set_text import lines
 
-#: Lines of a settings file that are read.
+#: Lines that a file of settings may have.
 SETTINGS = 1000
 STEP = 1 << 20
 
@@ -107,7 +107,9 @@ def cut_documents(bounds: DataFrame, text_path: str, range_bytes: int = 1 << 26)
 
 def settings(spark: SparkSession, path: str) -> dict[str, str]:
     """A file of key=value lines. Lines without ``=`` are skipped; of repeated keys the last counts."""
-    rows = spark.read.text(path).filter(F.col("value").contains("=")).limit(SETTINGS).collect()
+    rows = spark.read.text(path).filter(F.col("value").contains("=")).limit(SETTINGS + 1).collect()
+    if len(rows) > SETTINGS:
+        raise ValueError(f"more than {SETTINGS} settings: {path}")
     return {k: v for k, _, v in (r["value"].partition("=") for r in rows)}
 
 

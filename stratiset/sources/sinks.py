@@ -18,7 +18,7 @@ from .binary_lists import encode_list
 FLUSH = 1 << 22
 
 
-class _File:
+class Sink:
     """A file of any file system that Spark knows."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
@@ -35,7 +35,7 @@ class _File:
         self.out.write(self.kept)
         self.kept = bytearray()
 
-    def __enter__(self) -> _File:
+    def __enter__(self) -> Sink:
         return self
 
     def __exit__(self, *_) -> None:
@@ -51,7 +51,7 @@ def write_lists(lists: DataFrame, path: str, width: int = 4, text_path: str | No
     full = identifiers.fill_gaps(lists.select("list_id", F.col("items").cast("array<bigint>").alias("items")), "list_id", "items")
     most = lists.agg(F.max("list_id").alias("m")).first()["m"]
     n = 0 if most is None else most + 1
-    with _File(lists.sparkSession, path) as out:
+    with Sink(lists.sparkSession, path) as out:
         out.write(n.to_bytes(4, "little"))
         for row in full.orderBy("list_id").toLocalIterator(prefetchPartitions=True):
             out.write(encode_list(row["items"], width))
@@ -65,14 +65,14 @@ def write_packed(lists: DataFrame, path: str, about: dict[str, str] | None = Non
     check_split(master_bits, rel_bits)
     n = write_lists(lists, path, 8)
     found = {"format": "u64", **(about or {}), "tuple_output": kind, "master_bits": str(master_bits), "rel_bits": str(rel_bits), "total_lists": str(n)}
-    with _File(lists.sparkSession, f"{path}.meta") as out:
+    with Sink(lists.sparkSession, f"{path}.meta") as out:
         out.write("".join(f"{k}={v}\n" for k, v in found.items()).encode())
     return found
 
 
 def write_page_map(pages: DataFrame, path: str, text_path: str | None = None) -> None:
     """Write (master, global_from, global_to), masters from 0 without gaps, as cumulative 32-bit starts; ``text_path`` gets lines to read."""
-    with _File(pages.sparkSession, path) as out:
+    with Sink(pages.sparkSession, path) as out:
         out.write(bytes(4))
         for row in pages.orderBy("master").select("global_to").toLocalIterator(prefetchPartitions=True):
             out.write(np.array([row[0]], "<u4").tobytes())
@@ -92,13 +92,25 @@ def write_vocabulary(vocab: DataFrame, path: str) -> None:
     width = max(int(offsets[-1]).bit_length(), 1)
     bits = ((offsets[:, None] >> np.arange(width)) & 1).astype(np.uint8).ravel()
     bits = np.pad(bits, (0, -len(bits) % 32))
-    with _File(vocab.sparkSession, path) as out:
+    with Sink(vocab.sparkSession, path) as out:
         out.write(np.array([len(words), width, offsets[-1]], "<u4").tobytes())
         for w in words:
             out.write(w)
         out.write(np.packbits(bits, bitorder="little").tobytes())
 
 
+def write_raw_text(docs: DataFrame, text_path: str, borders_path: str) -> None:
+    """Write the texts of (doc_id, text) in the order of their ids as one file, and where each begins and the last ends as 64-bit numbers."""
+    with Sink(docs.sparkSession, text_path) as out, Sink(docs.sparkSession, borders_path) as borders:
+        at = 0
+        borders.write(at.to_bytes(8, "little"))
+        for row in docs.orderBy("doc_id").select("text").toLocalIterator(prefetchPartitions=True):
+            data = (row[0] or "").encode()
+            out.write(data)
+            at += len(data)
+            borders.write(at.to_bytes(8, "little"))
+
+
 def append_metrics(rows: DataFrame, folder: str) -> None:
     """Append rows of metrics to a folder of CSV; every part has the names of its columns."""
     rows.write.mode("append").option("header", True).csv(folder)

@@ -141,7 +141,7 @@ def test_branch_leaves_the_history_as_it_is(spark):
     steps = spark.createDataFrame([(1, [1]), (2, [2, 3]), (3, [1]), (4, [4]), (5, [5])], "step bigint, items array<bigint>")
     assert rows(families.branch(steps, 4, [5, 2, 1]), "items") == [((1,),), ((1, 2, 5),), ((2, 3),), ((4,),)]
     assert families.history(steps).filter("first_step <= 4").count() == 3
-    assert rows(families.running_union(steps, 2), "step", "is_new", "family_size") == [(1, True, 1), (2, True, 2), (3, False, 2), (4, True, 3), (5, True, 4)]
+    assert rows(families.running_union(steps), "step", "is_new", "family_size") == [(1, True, 1), (2, True, 2), (3, False, 2), (4, True, 3), (5, True, 4)]
 
 
 def test_packing(spark):
@@ -172,9 +172,8 @@ def test_global_ids(spark):
     assert rows(pages, "master", "global_from", "global_to") == [(0, 0, 2), (1, 2, 2), (70_000, 2, 5)]
     ids = spark.range(-1, 7).withColumnRenamed("id", "docid")
     want = [(0, 0, 0), (1, 0, 1), (2, 70_000, 0), (3, 70_000, 1), (4, 70_000, 2)]
-    for width in (1, 2, 1 << 16):
-        found = identifiers.from_global(ids, pages, width)
-        assert found.count() == 8 and rows(found.filter("master IS NOT NULL"), "docid", "master", "rel") == want
+    found = identifiers.from_global(ids, pages)
+    assert found.count() == 8 and rows(found.filter("master IS NOT NULL"), "docid", "master", "rel") == want
     pairs = spark.createDataFrame([(0, 1), (0, 2), (9, 0)], "master bigint, rel bigint")
     assert rows(identifiers.to_global(pairs, pages).na.fill(-1), "docid") == [(-1,), (-1,), (1,)]
     assert {r["docid"] for r in identifiers.to_global(pairs, pages, "auto").collect()} == {1, None, 9 << 24}
@@ -188,13 +187,38 @@ def test_ordering_does_not_depend_on_buckets(spark):
     values = [(k, r.randrange(1000), r.randrange(5)) for k in range(300)]
     df = spark.createDataFrame(values, "id bigint, k bigint, v bigint").repartition(5)
     order = sorted(values, key=lambda x: (x[1], x[0]))
-    two = [ordering.number_bucket("k", 256), ordering.number_bucket("k", 16)]
-    for b in (*(ordering.number_bucket("k", width) for width in (1, 64, 1 << 16)), two, [*two, ordering.number_bucket("k", 2)]):
+    by = lambda width: F.floor(F.col("k") / width)
+    for b in ([by(1)], [by(64)], [by(1 << 16)], [by(256), by(16)], [by(256), by(16), by(2)], ordering.number_buckets("k"), ordering.pair_buckets("k", "id", False)):
         assert [x["id"] for x in sorted(ordering.numbered(df, b, ["k", "id"], "n").collect(), key=lambda x: x["n"])] == [x[0] for x in order]
         sums = {x["id"]: x["s"] for x in ordering.running_sum(df, b, ["k", "id"], F.col("v"), "s").collect()}
         assert [sums[x[0]] for x in order] == list(itertools.accumulate(x[2] for x in order))
         lags = {x["id"]: x["p"] for x in ordering.lagged(df, b, ["k", "id"], "v", "p").collect()}
         assert [lags[x[0]] for x in order] == [None, *[x[2] for x in order][:-1]]
+        known, want = {x["id"]: x["p"] for x in ordering.known(df, b, ["k", "id"], F.when(F.col("v") == 3, F.col("id")), "p").collect()}, []
+        for x in order:
+            want.append(x[0] if x[2] == 3 else want[-1] if want else None)
+        assert [known[x[0]] for x in order] == want
+
+
+def test_number_buckets_follow_the_order_of_numbers(spark):
+    r = random.Random(4)
+    values = sorted({0, 1, -1, 2, (1 << 62) - 1, (1 << 63) - 1, -(1 << 62), *(s * ((1 << k) + d) for k in range(1, 62) for d in (-1, 0, 1) for s in (1, -1)), *(r.randrange(-(1 << 62), 1 << 62) for _ in range(200))})
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v bigint")
+    found = [tuple(x["b"]) for x in df.select("v", F.array(*ordering.number_buckets("v")).alias("b")).orderBy("v").collect()]
+    assert found == sorted(found)
+    # dense ids and hashed ids alike fill many buckets evenly, and the first kind stays few
+    for rows_ in (spark.range(1 << 18).select("id"), spark.range(1 << 18).select((F.xxhash64("id")).alias("id"))):
+        counts = rows_.groupBy(*(c.alias(n) for c, n in zip(ordering.number_buckets("id"), "ab"))).count()
+        assert counts.agg(F.max("count")).first()[0] <= (1 << 18) // 500 and counts.select("a").distinct().count() <= 1 << 17
+
+
+def test_a_crowded_term_is_no_single_bucket(spark):
+    """A pool whose patterns nearly all come from one term, and one of 10,000 terms, is numbered in many buckets."""
+    hot = spark.range(200_000).select(F.lit(7).alias("term"), (F.col("id") * 1000 + 1).alias("master"))
+    wide = spark.range(200_000).select((F.col("id") % 10_000).alias("term"), F.col("id").alias("master"))
+    for df in (hot, wide):
+        _, counts = None, df.groupBy(*(c.alias(n) for c, n in zip(ordering.pair_buckets("term", "master", False), "ab"))).count()
+        assert counts.agg(F.max("count")).first()[0] <= 70_000
 
 
 def test_text_buckets_follow_the_order_of_texts(spark):
@@ -209,7 +233,7 @@ def test_text_buckets_follow_the_order_of_texts(spark):
 def test_nulls_come_first_in_an_order(spark):
     df = spark.createDataFrame([(None, 1), ("b", 2), ("a", 3), (None, 4)], "t string, v bigint")
     assert rows(ordering.numbered(df, ordering.text_buckets("t"), ["t", "v"], "n"), "n", "v") == [(1, 1), (2, 4), (3, 3), (4, 2)]
-    assert rows(ordering.running_sum(df, ordering.number_bucket("v", 2), ["v"], F.col("v"), "s"), "v", "s") == [(1, 1), (2, 3), (3, 6), (4, 10)]
+    assert rows(ordering.running_sum(df, ordering.number_buckets("v"), ["v"], F.col("v"), "s"), "v", "s") == [(1, 1), (2, 3), (3, 6), (4, 10)]
 
 
 def test_resolution_orders(spark):
@@ -232,17 +256,18 @@ def test_similarities(spark):
 def test_adjacent_versions(spark):
     base = "these several long words stay together always"
     docs = spark.createDataFrame([(3, base + " alpha"), (1, base + " beta"), (2, "zebra crossing somewhere entirely different")], "doc_id bigint, text string")
-    similar = versions.adjacent_similarity(docs, T.char_prefix(F.col("text")))
-    assert rows(versions.articles(similar), "doc_id", "article", "version") == [(1, 1, 1), (2, 2, 0), (3, 1, 0)]
+    similar = versions.adjacent_similarity(docs, T.byte_prefix(F.col("text"))).orderBy("text").collect()
+    assert [r["doc_id"] for r in similar] == [3, 1, 2] and similar[0]["similarity"] is None and similar[1]["similarity"] > 0.35 > similar[2]["similarity"]
+    assert rows(versions.articles(docs, T.byte_prefix(F.col("text"))), "doc_id", "article", "version") == [(1, 1, 1), (2, 2, 0), (3, 1, 0)]
 
 
 def test_texts(spark):
     df = spark.createDataFrame([("café naïve x_y abc 12ab",), ("Éa A1-b2 don't",), ("",), (None,)], "t string")
     assert [r[0] for r in df.select(T.tokens(F.col("t"))).collect()] == [["abc", "12ab"], ["a1", "b2", "don", "t"], [], None]
-    cut = spark.createDataFrame([("a" * 1999 + "é",), ("a" * 1998 + "é" + "b",), ("a" * 2001,), ("é" * 10,), ("�" * 5,)], "t string")
-    assert [len(r[0]) for r in cut.select(T.byte_prefix(F.col("t"))).collect()] == [1999, 1999, 2000, 10, 5]
-    log = spark.createDataFrame([("x = 0.5 msec/pat\ny = 0.01500000 msec/pat",), ("msec/pat : 12.5",), ("usec/occ = 1e-3",), ("none",)], "t string")
-    assert [r[0] for r in log.select(T.last_number(F.col("t"), "msec/pat")).collect()] == [0.015, 12.5, None, None]
+    cut = spark.createDataFrame([("a" * 1999 + "é",), ("a" * 1998 + "é" + "b",), ("a" * 2001,), ("é" * 10,), ("�" * 5,), ("a" * 1997 + "�" + "bc",), ("a" * 1998 + "�b",)], "t string")
+    assert [len(r[0]) for r in cut.select(T.byte_prefix(F.col("t"))).collect()] == [1999, 1999, 2000, 10, 5, 1998, 1998]
+    log = spark.createDataFrame([("usec/occ = 0.0075\nmsec/pat = 0.015",), ("msec/pat : 12.5\nMSEC/PAT=3",), ("0.5 msec/pat\nusec/occ = 1",), ("none",)], "t string")
+    assert [r[0] for r in log.select(T.last_number(F.col("t"), "msec/pat")).collect()] == [0.015, 3.0, None, None]
 
 
 def test_samples(spark):
@@ -252,8 +277,14 @@ def test_samples(spark):
     assert all(2 <= len(r["items"]) <= 20 and len(set(r["items"])) == len(r["items"]) and 1 <= min(r["items"]) and max(r["items"]) <= 500_000 for r in found)
     data = b"".join(bytes(r["data"]) for r in sampling.random_text(spark, 100_001, 3).orderBy("block").collect())
     assert len(data) == 100_001 and set(data) == {1, 2, 3}
-    with pytest.raises(ValueError):
-        sampling.random_text(spark, 10, 0)
+    assert {b for r in sampling.random_text(spark, 50_000, 256).collect() for b in bytes(r["data"])} == set(range(256))
+    for sigma in (0, 257):
+        with pytest.raises(ValueError):
+            sampling.random_text(spark, 10, sigma)
+    # as large as the universe
+    assert all(sorted(r["items"]) == list(range(1, 10)) for r in sampling.random_sets(spark, 20, 9, 9, 9).collect())
+    small = sampling.random_sets(spark, 300, 3, 6, 7).collect()
+    assert all(3 <= len(set(r["items"])) == len(r["items"]) <= 6 and set(r["items"]) <= set(range(1, 8)) for r in small) and {len(r["items"]) for r in small} == {3, 4, 5, 6}
 
 
 def test_checks_find_faults(spark, hola):
