@@ -68,10 +68,10 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
 def discard(df: DataFrame) -> None:
     """Delete the files of a table that :func:`materialise` wrote and no plan needs any more."""
     for f in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        _delete(df.sparkSession, f)
+        remove(df.sparkSession, f)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
@@ -90,7 +90,7 @@ def only(spark: SparkSession) -> Iterator[list[DataFrame]]:
         kept = {f.rsplit("/", 2)[-2] for df in keep for f in df.inputFiles()}
         for path in _open.pop():
             if path.rsplit("/", 1)[-1] not in kept:
-                _delete(spark, path)
+                remove(spark, path)
             elif _open:
                 _open[-1].append(path)
 
@@ -183,9 +183,9 @@ def runs(column: pa.Array, space: str | None = None) -> tuple[list[bytes], np.nd
     return words, codes, sizes
 
 
-def gathered(values: list[bytes], codes: np.ndarray, sizes: np.ndarray, kind: str) -> tuple[np.ndarray, np.ndarray]:
-    """Values (numbers of the given kind, as bytes) of all runs one after another, and how many numbers each row has."""
-    width = np.dtype(kind).itemsize
+def gathered(values: list[bytes], codes: np.ndarray, sizes: np.ndarray, kind: str, many: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Values (numbers of the given kind, or rows of ``many`` of them, as bytes) of all runs one after another, and how many each row has."""
+    width = np.dtype(kind).itemsize * many
     flat, lengths = np.frombuffer(b"".join(values), kind), np.fromiter(map(len, values), np.int64, len(values)) // width
     starts = np.cumsum(lengths) - lengths
     each = lengths[codes]
@@ -193,6 +193,7 @@ def gathered(values: list[bytes], codes: np.ndarray, sizes: np.ndarray, kind: st
     at = np.repeat(starts[codes] - (ends - each), each)
     at += np.arange(len(at))
     reach = np.r_[0, ends][np.cumsum(sizes)]
+    flat = flat.reshape(-1, many) if many > 1 else flat
     return flat[at], np.diff(reach, prepend=0)
 
 

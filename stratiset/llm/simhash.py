@@ -33,13 +33,19 @@ from . import common
 RADIUS, SHINGLE, SEED = 2, 3, 42
 #: Members of a shard that one tree holds; the finest masks leave 13 bits free.
 SHARD = 8192
+#: Rows of a file of links.
+EDGES = 20_000
 ALL = (1 << 64) - 1
 _LANES = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")).copy().view(np.uint64).ravel()
 
 
-def shingle_hashes(text: str | None, size: int = SHINGLE) -> list[int]:
-    """XXH64 of each word shingle of a text whose A-Z are lower-cased; the whole sequence if it is shorter, none without words."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+def words_of(text: str | None) -> list[bytes]:
+    """Words of a text whose A-Z are lower-cased."""
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def shingle_hashes(words: list[bytes], size: int = SHINGLE) -> list[int]:
+    """XXH64 of each shingle of the words; of the whole sequence if it is shorter, none without words."""
     if not words:
         return []
     joined, digest = b" ".join(words), xxhash.xxh64_intdigest
@@ -50,9 +56,9 @@ def shingle_hashes(text: str | None, size: int = SHINGLE) -> list[int]:
     return [digest(joined[a:b], SEED) for a, b in zip(starts, ends[size - 1 :].tolist())]
 
 
-def majority(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Per run of hashes, the bits that are set in over half of it; 0 for an empty run."""
-    out = np.zeros(len(sizes), np.uint64)
+def set_bits(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Per run of hashes how many have each of the 64 bits."""
+    out = np.zeros((len(sizes), 64), np.int64)
     if not len(hashes):
         return out
     # the eight bits of a byte are counted side by side in the bytes of one number, over at most 255 hashes
@@ -66,20 +72,46 @@ def majority(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     owners = np.asarray(owners)
     starts = np.flatnonzero(np.r_[True, owners[1:] != owners[:-1]])
     octets = hashes.view(np.uint8).reshape(-1, 8)
-    bits = np.empty((len(starts), 64), bool)
-    half = sizes[owners[starts]][:, None]
     for j in range(8):
         part = np.add.reduceat(_LANES[octets[:, j]], firsts).view(np.uint8).reshape(-1, 8)
-        bits[:, 8 * j : 8 * j + 8] = 2 * np.add.reduceat(part.astype(np.int64), starts, axis=0) > half
-    out[owners[starts]] = np.packbits(bits, axis=1, bitorder="little").view(np.uint64).ravel()
+        out[owners[starts], 8 * j : 8 * j + 8] = np.add.reduceat(part.astype(np.int64), starts, axis=0)
     return out
 
 
+def majority(counts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Fingerprints of the bits that over half of each run has."""
+    return np.packbits(2 * counts > sizes[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+
+
+def _counted(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    found = [shingle_hashes(w) for w in words]
+    sizes = np.array([len(x) for x in found], np.int64)
+    return set_bits(np.fromiter((h for x in found for h in x), np.uint64, int(sizes.sum())), sizes), sizes
+
+
+def _counted_long(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The same of one long text in parts; the last words of a part lead the next."""
+    counts, n, carry = np.zeros((1, 64), np.int64), 0, []
+    for part in common.parts(text):
+        carry += words_of(part)
+        if len(carry) >= SHINGLE:
+            own, sizes = _counted([carry])
+            counts += own
+            n += int(sizes[0])
+            carry = carry[len(carry) - SHINGLE + 1 :]
+    return (counts, np.array([n])) if n else _counted([carry])
+
+
+def print_texts(texts: list[str | None]) -> np.ndarray:
+    """Fingerprints; of an empty or blank text 0."""
+    if len(texts) == 1 and len(texts[0] or "") > common.PART:
+        return majority(*_counted_long(texts[0]))
+    return majority(*_counted([words_of(t) for t in texts]))
+
+
 def _fingerprint_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in common.slices(batches):
-        found = [shingle_hashes(t) for t in batch.column(1).to_pylist()]
-        sizes = np.array([len(x) for x in found], np.int64)
-        prints = majority(np.fromiter((h for x in found for h in x), np.uint64, int(sizes.sum())), sizes)
+        prints = print_texts(batch.column(1).to_pylist())
         yield pa.record_batch([batch.column(0), pa.array(prints.view(np.int64))], names=["doc_id", "print"])
 
 
@@ -222,11 +254,11 @@ def components(edges: DataFrame) -> DataFrame:
     """(id, root) for every id of ``edges`` (a, b) that is not the least of its component.
 
     Large-star and small-star rounds in turn; each is two joins on ids that AQE
-    can split, and a table in the shared folder.
+    can split, and a table in the shared folder of about EDGES rows a file.
     """
-    spark = edges.sparkSession
     now = common.materialise(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "components")
     state = _state(now)
+    files = lambda rows: -(-2 * rows // EDGES) or 1  # noqa: E731  a round at most doubles the rows
     while state[0]:
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).select(F.col("u").alias("w"), "m")
@@ -234,7 +266,7 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), "m")
         joined = large.join(least, F.col("u") == F.col("w"))
         small = joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select(F.col("w").alias("u"), F.col("m").alias("v"))).distinct()
-        after = common.materialise(small, "components")
+        after = common.materialise(small.coalesce(files(state[0])), "components")
         reached = _state(after)
         common.discard(now)
         now, same = after, reached == state
@@ -258,7 +290,9 @@ def near_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """
     slim = common.materialise(fingerprints(docs), "simhash-prints")
     distinct = slim.groupBy("print").agg(F.min("doc_id").alias("id"))
-    roots = components(links(distinct.filter("id IS NOT NULL"), radius))
+    with common.only(docs.sparkSession) as keep:
+        roots = components(links(distinct.filter("id IS NOT NULL"), radius))
+        keep.append(roots)
     named = distinct.join(roots, "id", "left").select("print", F.coalesce("root", "id").alias("component_id"))
     return slim.join(named, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 

@@ -41,7 +41,7 @@ def test_majority_of_long_runs():
     r = np.random.default_rng(3)
     hashes = r.integers(0, 1 << 63, 1600, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     sizes = np.array([0, 1, 2, 254, 255, 256, 600, 0, 232])
-    got, at = simhash.majority(hashes, sizes), 0
+    got, at = simhash.majority(simhash.set_bits(hashes, sizes), sizes), 0
     for n, g in zip(sizes.tolist(), got.tolist()):
         own = [int(h) for h in hashes[at : at + n]]
         at += n
@@ -125,3 +125,13 @@ def test_drop_near_copies_keeps_one_of_each_group(spark):
 def test_extra_columns_do_not_clash(spark):
     docs = hard.documents(spark, True).withColumn("component_id", F.lit(1)).withColumn("fingerprint", F.lit("x"))
     assert simhash.near_groups(docs).columns == ["doc_id", "fingerprint", "component_id"]
+
+
+def test_a_long_text_in_parts_has_the_same_fingerprint(monkeypatch):
+    from stratiset.llm import common
+
+    texts = ["One two\tThree\n" * 60 + "end", "  " * 200, "x" * 300, "a " + " " * 300 + "b", "one two three four  " * 30, " " * 100 + "a b c"]
+    monkeypatch.setattr(common, "PART", 20)
+    for text in texts:
+        assert simhash.print_texts([text]).tolist() == [brute.simhash(text)]
+    assert simhash.print_texts(texts).tolist() == [brute.simhash(t) for t in texts]
