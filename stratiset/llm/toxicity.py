@@ -3,8 +3,8 @@
 A word enters as its embedding, the mean embedding of its character n-grams, and
 log-odds of the word and of its n-grams. Two gated recurrent layers read a window
 of ``SPAN`` words, one each way; attention pools their states into one number. All
-overlapping windows of a text are scored (each word but those at the ends lies in
-two), and the text takes the highest.
+overlapping windows of a text are scored (one starts every ``STEP`` words, so each word
+but those at the ends lies in four), and the text takes the highest.
 
 Trained in numpy on a bounded sample: at most ``TOXIC`` and ``CLEAN`` labelled
 documents of at most ``TRAIN_CHARS`` code points, drawn by a hash of their ids.
@@ -32,11 +32,16 @@ from . import common
 from .langid import draw, held_out
 
 #: Bounds of the training sample and the model.
-TOXIC, CLEAN, TRAIN_CHARS, VOCABULARY, GRAMS, TRIGRAMS = 2_000, 4_000, 20_000, 4_000, 100_000, 4_000
-SPAN, STEP = 32, 16
-UNITS, WORD_DIM, CHAR_DIM, ATTENTION, SLOTS = 8, 6, 6, 8, 16
+TOXIC, CLEAN, TRAIN_CHARS, VOCABULARY, GRAMS, TRIGRAMS = 2_000, 4_000, 10_000, 4_000, 100_000, 4_000
+SPAN, STEP, TRAIN_STEP = 32, 8, 16
+UNITS, WORD_DIM, CHAR_DIM, ATTENTION, SLOTS = 8, 6, 6, 8, 24
 EPOCHS, BATCH, RATE, SEED, THRESHOLD = 14, 256, 0.01, 7, 0.7
-WORD = re.compile(r"[^\W\d_]+")
+#: Letters; longer runs (scripts without spaces) are several inputs.
+WORD = re.compile(rf"[^\W\d_]{{1,{SLOTS}}}")
+#: Characters that n-grams are told apart by; those beyond are unknown.
+LETTERS = 4_000
+#: Windows that are scored side by side.
+SIDE = 1024
 
 
 def words_of(text: str | None) -> list[str]:
@@ -81,6 +86,47 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+class Grams:
+    """Values of character n-grams of one length, looked up for all places of many words at once.
+
+    An n-gram is one number: its letters' places in the alphabet, twelve bits each.
+    """
+
+    def __init__(self, n: int, values: dict[str, float], alphabet: np.ndarray) -> None:
+        self.n = n
+        known = [(g, v) for g, v in values.items() if len(g) == n]
+        codes = letters("".join(g for g, _ in known), alphabet).reshape(-1, n) if known else np.zeros((0, n), np.int64)
+        whole = codes.all(axis=1)
+        keys = self._keys(codes[whole].T)
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], np.array([v for _, v in known], np.float64)[whole][order]
+
+    @staticmethod
+    def _keys(columns) -> np.ndarray:
+        key = np.zeros(len(columns[0]), np.int64)
+        for c in columns:
+            key = key << 12 | c
+        return key
+
+    def at(self, codes: np.ndarray, missing: float = 0.0) -> np.ndarray:
+        """The value of the n-gram at each place of ``codes``, the last n - 1 left out."""
+        n = self.n
+        if len(codes) < n:
+            return np.zeros(0)
+        keys = self._keys([codes[k : len(codes) - n + 1 + k] for k in range(n)])
+        if not len(self.keys):
+            return np.full(len(keys), missing)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.values[at], missing)
+
+
+def letters(text: str, alphabet: np.ndarray) -> np.ndarray:
+    """Places (from 1) of the characters of a text in the sorted alphabet of code points; 0 for others."""
+    points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+    at = np.minimum(np.searchsorted(alphabet, points), len(alphabet) - 1)
+    return np.where(alphabet[at] == points, at + 1, 0)
+
+
 class Network:
     """Parameters, forward and backward passes, gate inputs by word."""
 
@@ -99,21 +145,38 @@ class Network:
     def learn_odds(self, word_odds: dict[str, float], gram_odds: dict[str, float]) -> None:
         self.word_odds = word_odds
         self.gram_odds = {g: gram_odds[g] for g in sorted(gram_odds, key=lambda g: (-abs(gram_odds[g]), g))[:GRAMS]}
+        seen = Counter(c for g in (*self.gram_odds, *self.trigrams) for c in g)
+        self.alphabet = np.array(sorted(ord(c) for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:LETTERS]) or [0], np.uint32)
+        self.short = Grams(3, self.trigrams, self.alphabet)
+        self.long = [Grams(n, self.gram_odds, self.alphabet) for n in (4, 5)]
 
     def table(self, words: list[str]) -> tuple[np.ndarray, ...]:
         """Feature arrays of distinct words: embedding rows of the word and its 3-grams (0: unknown), the weight
         of each 3-gram, and log-odds of the word and of its longer n-grams (highest, mean)."""
-        slots, many = np.zeros((len(words), SLOTS), np.int64), np.zeros((len(words), SLOTS), np.float32)
-        ids, odds = [], []
-        row, known, own = self.vocabulary.get, self.trigrams.get, self.gram_odds.get
-        for k, word in enumerate(words):
-            ids.append(row(word, 0))
-            short = [known(g, 0) for g in trigrams(word)[:SLOTS]]
-            slots[k, : len(short)] = short
-            many[k, : len(short)] = 1 / max(len(short), 1)
-            found = [own(g, 0.0) for g in grams(word)] or [0.0]
-            odds.append((self.word_odds.get(word, 0.0), max(found), sum(found) / len(found)))
-        return np.array(ids, np.int64), slots, many, np.array(odds, np.float32).reshape(-1, 3)
+        n = len(words)
+        slots, many, odds = np.zeros((n, SLOTS), np.int64), np.zeros((n, SLOTS), np.float32), np.zeros((n, 3), np.float32)
+        ids = np.fromiter((self.vocabulary.get(w, 0) for w in words), np.int64, n)
+        odds[:, 0] = np.fromiter((self.word_odds.get(w, 0.0) for w in words), np.float32, n)
+        if not n:
+            return ids, slots, many, odds
+        codes = letters("<" + "><".join(words) + ">", self.alphabet)
+        sizes = np.fromiter(map(len, words), np.int64, n) + 2
+        owner, starts = np.repeat(np.arange(n), sizes), np.cumsum(sizes) - sizes
+        here = np.flatnonzero(owner[: len(owner) - 2] == owner[2:])
+        own, place = owner[here], here - starts[owner[here]]
+        slots[own, place] = self.short.at(codes)[here]
+        many[own, place] = (1 / (sizes - 2))[own]
+        highest, total = np.full(n, -np.inf), np.zeros(n)
+        for grams_of in self.long:
+            here = np.flatnonzero(owner[: len(owner) - grams_of.n + 1] == owner[grams_of.n - 1 :])
+            found, own = grams_of.at(codes)[here], owner[here]
+            total += np.bincount(own, found, n)
+            if len(own):
+                first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+                highest[own[first]] = np.maximum(highest[own[first]], np.maximum.reduceat(found, first))
+        count = np.maximum(sizes - 3, 0) + np.maximum(sizes - 4, 0)
+        odds[:, 1], odds[:, 2] = np.where(count > 0, highest, 0), total / np.maximum(count, 1)
+        return ids, slots, many, odds
 
     def inputs(self, table: tuple[np.ndarray, ...]) -> np.ndarray:
         ids, slots, many, odds = table
@@ -154,6 +217,38 @@ class Network:
         logit = pooled @ self.p["w"] + self.p["b"][0]
         return (logit, (kf, kb, states, hidden, weight, pooled)) if keep else logit
 
+    def window_logits(self, rows: np.ndarray, at: np.ndarray, mask: np.ndarray) -> np.ndarray:
+        """Logits of windows over gate inputs, one word a row, step by step side by side and in place."""
+        p, h, n, steps = self.p, UNITS, *at.shape
+        gates, full = rows[at.T], mask.all(axis=0)
+        states = np.empty((steps, n, 2 * h), np.float32)
+        s, zr, c = np.empty((n, 3 * h), np.float32), np.empty((n, 2 * h), np.float32), np.empty((n, h), np.float32)
+        for lo, way in enumerate("fb"):
+            u, state = p["u" + way], np.zeros((n, h), np.float32)
+            for t in range(steps) if way == "f" else range(steps - 1, -1, -1):
+                g = gates[t, :, 3 * h * lo : 3 * h * lo + 3 * h]
+                np.matmul(state, u, out=s)
+                np.add(g[:, : 2 * h], s[:, : 2 * h], out=zr)
+                np.negative(zr, out=zr)
+                np.exp(zr, out=zr)
+                zr += 1
+                np.reciprocal(zr, out=zr)
+                np.multiply(zr[:, h:], s[:, 2 * h :], out=c)
+                c += g[:, 2 * h :]
+                np.tanh(c, out=c)
+                new = states[t, :, h * lo : h * lo + h]
+                np.subtract(state, c, out=new)
+                new *= zr[:, :h]
+                new += c
+                if not full[t]:
+                    off = ~mask[:, t]
+                    new[off] = state[off]
+                state = new
+        flat = states.reshape(steps * n, 2 * h)
+        e = np.where(mask.T, (np.tanh(flat @ p["a"]) @ p["v"]).reshape(steps, n), -1e9)
+        e = np.exp(e - e.max(axis=0))
+        return (e * (flat @ p["w"]).reshape(steps, n)).sum(axis=0) / e.sum(axis=0) + p["b"][0]
+
     def gradients(self, table, at: np.ndarray, mask: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Loss and gradients over windows of rows ``at`` (windows, steps) of the table."""
         p, h = self.p, UNITS
@@ -199,17 +294,17 @@ class Network:
         return loss, grad
 
 
-def window_starts(n: int) -> list[int]:
-    """Starts of the windows over n words: every STEP words, and one that ends with the text."""
-    return [0] if n <= SPAN else [*range(0, n - SPAN, STEP), n - SPAN]
+def window_starts(n: int, step: int = STEP) -> list[int]:
+    """Starts of the windows over n words: every ``step`` words, and one that ends with the text."""
+    return [0] if n <= SPAN else [*range(0, n - SPAN, step), n - SPAN]
 
 
-def window_rows(sizes: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def window_rows(sizes: list[int], step: int = STEP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Positions (windows, SPAN), mask and text of all windows over texts that lie one after another."""
     starts, owners, ends, base = [], [], [], 0
     for k, n in enumerate(sizes):
         if n:
-            s = window_starts(n)
+            s = window_starts(n, step)
             starts += [base + x for x in s]
             owners += [k] * len(s)
             ends += [base + n] * len(s)
@@ -224,27 +319,54 @@ class Scorer:
 
     def __init__(self, net: Network | None) -> None:
         self.net = net
-        self.cache = common.ChunkCache(self._gates, 150_000)
-
-    def _gates(self, words: list[str]) -> list[bytes]:
-        return [row.tobytes() for row in self.net.gates(self.net.table(words)).astype(np.float32)]
+        self.cache = common.ChunkCache(self._gates, 100_000)
+
+    def _gates(self, runs: list[bytes]) -> list[bytes]:
+        """Of each run of characters the gate inputs of its words."""
+        words = [words_of(r) for r in b"\n".join(runs).decode("utf-8", "replace").split("\n")]
+        numbers: dict[str, int] = {}
+        at = np.array([numbers.setdefault(w, len(numbers)) for x in words for w in x], np.int64)
+        blob = self.net.gates(self.net.table(list(numbers))).astype(np.float32)[at].tobytes()
+        ends = np.cumsum([4 * 6 * UNITS * len(x) for x in words]).tolist()
+        return [blob[a:b] for a, b in zip([0, *ends], ends)]
+
+    def _rows(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Gate inputs of the words of a column, one word a row, and words per text."""
+        runs, codes, sizes = common.runs(column)
+        return common.gathered(self.cache.values(runs), codes, sizes, "<f4", 6 * UNITS)
+
+    def _worst(self, rows: np.ndarray, sizes: list[int], best: np.ndarray) -> None:
+        at, mask, owner = window_rows(sizes)
+        for k in range(0, len(at), SIDE):
+            np.maximum.at(best, owner[k : k + SIDE], self.net.window_logits(rows, at[k : k + SIDE], mask[k : k + SIDE]))
 
-    def raw(self, words: list[list[str]]) -> np.ndarray:
-        """Highest logit over each text's windows; -inf without words."""
-        best = np.full(len(words), -np.inf)
-        sizes = [len(w) for w in words]
-        if self.net is None or not any(sizes):
+    def raw(self, column: pa.Array) -> np.ndarray:
+        """Highest logit over each text's windows; -inf without words. A long text comes as a column by itself."""
+        best = np.full(len(column), -np.inf)
+        if self.net is None:
             return best
-        values = np.frombuffer(b"".join(self.cache.values([w for x in words for w in x])), np.float32).reshape(-1, 6 * UNITS)
-        at, mask, owner = window_rows(sizes)
-        for k in range(0, len(at), 2048):
-            np.maximum.at(best, owner[k : k + 2048], self.net.logits(values[at[k : k + 2048]], mask[k : k + 2048]))
+        rest = None  # of a long text the words since the last window's start, and the last SPAN words
+        for part in common.texts_by_parts(column):
+            rows, sizes = self._rows(part)
+            if len(part) == len(column) > 1:
+                if len(rows):
+                    self._worst(rows, sizes.tolist(), best)
+                continue
+            ahead, last = rest or (rows[:0], rows[:0])
+            ahead, last = np.concatenate([ahead, rows]), np.concatenate([last, rows])[-SPAN:]
+            starts = range(0, len(ahead) - SPAN, STEP)
+            for k in range(0, len(starts), SIDE):
+                own = np.array(starts[k : k + SIDE])[:, None] + np.arange(SPAN)
+                best[0] = max(best[0], self.net.window_logits(ahead, own, np.ones(own.shape, bool)).max())
+            rest = (ahead[len(starts) * STEP :], last)
+        if rest and len(rest[1]):
+            self._worst(rest[1], [len(rest[1])], best)
         return best
 
-    def scores(self, texts: list[str | None]) -> list[float]:
-        raw = self.raw([words_of(t) for t in texts])
+    def scores(self, column: pa.Array) -> list[float]:
         if self.net is None:
-            return [0.0] * len(texts)
+            return [0.0] * len(column)
+        raw = self.raw(column)
         return _sigmoid(np.where(np.isinf(raw), -30.0, raw * self.net.scale + self.net.shift)).tolist()
 
 
@@ -267,7 +389,7 @@ def train(rows: list[tuple[int, int, str]], prior: float) -> Network | None:
     number = {w: k for k, w in enumerate(words)}
     table = net.table(words)
     flat = np.array([number[w] for k in use for w in texts[k]], np.int64)
-    at, mask, owner = window_rows([len(texts[k]) for k in use])
+    at, mask, owner = window_rows([len(texts[k]) for k in use], TRAIN_STEP)
     rowsat, target = flat[at], y[use]
     r, first, second, step = np.random.default_rng(SEED), {k: 0.0 for k in net.p}, {k: 0.0 for k in net.p}, 0
     # before anything is learned, a document's window is the one with the highest log-odds
@@ -293,13 +415,14 @@ def train(rows: list[tuple[int, int, str]], prior: float) -> Network | None:
         value = np.concatenate([net.logits(gates[rowsat[k : k + 2048]], mask[k : k + 2048]) for k in range(0, len(rowsat), 2048)])
     # the network has learned from odds of other documents; what scores uses both parts' odds
     net.learn_odds(*_odds([(texts[k], int(y[k])) for k in np.flatnonzero(part < 2)])[0])
-    _calibrate(net, [texts[k] for k in np.flatnonzero(part == 2)], y[part == 2], prior)
+    _calibrate(net, [rows[k][2] for k in np.flatnonzero(part == 2)], y[part == 2], prior)
     return net
 
 
-def _calibrate(net: Network, texts: list[list[str]], y: np.ndarray, prior: float) -> None:
+def _calibrate(net: Network, texts: list[str | None], y: np.ndarray, prior: float) -> None:
     """Scale and shift of the logit by logistic regression on texts the network has not seen, moved to the prior."""
-    raw = Scorer(net).raw(texts)
+    scorer = Scorer(net)
+    raw = np.concatenate([scorer.raw(pa.array(texts[k : k + 64], pa.string())) for k in range(0, len(texts), 64)])
     ok = ~np.isinf(raw)
     raw, y = raw[ok], y[ok]
     if len(set(y.tolist())) < 2:
@@ -329,15 +452,16 @@ def fit(docs: DataFrame, labels: DataFrame) -> Network | None:
     rate = F.when(F.col("toxic") == 1, min(1.0, TOXIC / sizes[1])).otherwise(min(1.0, CLEAN / sizes[0]))
     sample = draw(known, rate)  # about TOXIC + CLEAN ids: bounded, so it may be broadcast
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(F.char_length("text") <= TRAIN_CHARS)
-    rows = texts.join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "text").limit(2 * (TOXIC + CLEAN)).collect()
+    # one text of an id that repeats, so that there are no more rows than ids drawn
+    rows = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
     return train([tuple(r) for r in rows], sizes[1] / (sizes[0] + sizes[1]))
 
 
 def _score(shared):
     def batches(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for batch in common.slices(rows, n=64):
-            found = scorer.scores(batch.column(2).to_pylist())
+        for batch in common.slices(rows, n=256, most=1 << 20):
+            found = scorer.scores(batch.column(2))
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(found, pa.float64())], names=["doc_id", "held_out", "score"])
 
     return batches
@@ -348,7 +472,8 @@ def score(docs: DataFrame, labels: DataFrame | None = None, net: Network | None
 
     * null and empty texts, and those without a letter: the lowest score.
     * no labels, or of one class only: every score is 0.
-    * labels that repeat an id: toxic if any says so; other values than 0 and 1 are ignored.
+    * labels that repeat an id: toxic if any says so; other values than 0 and 1 are ignored. Of documents that repeat
+      a labelled id the first text in order is learned from.
     * null doc_id: scored, never learned from. Repeated ids and rows: each row gets its row.
     * empty table: empty result. Extra columns are ignored.
     """

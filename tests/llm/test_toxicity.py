@@ -3,10 +3,11 @@ from __future__ import annotations
 import brute
 import hard
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from stratiset.llm import toxicity
+from stratiset.llm import common, toxicity
 from stratiset.llm.queries import op6_toxicity
 
 
@@ -85,15 +86,52 @@ def test_windows_overlap_and_cover():
         covered = np.zeros(n, int)
         for s in starts:
             covered[s : s + toxicity.SPAN] += 1
-        assert covered.min() >= 1 and (n < 3 * toxicity.SPAN or covered[toxicity.SPAN : -toxicity.SPAN].min() >= 2)
-    at, mask, owner = toxicity.window_rows([0, 3, 40])
+        assert covered.min() >= 1 and (n < 3 * toxicity.SPAN or covered[toxicity.SPAN : -toxicity.SPAN].min() >= toxicity.SPAN // toxicity.STEP)
+    at, mask, owner = toxicity.window_rows([0, 3, 40], 16)
     assert owner.tolist() == [1, 2, 2] and mask.sum(axis=1).tolist() == [3, 32, 32]
 
 
-def test_a_text_scores_as_its_worst_window():
-    net, words = tiny_network(2)
+def plain_logit(net: toxicity.Network, words: list[str]) -> float:
+    """One window's logit, word by word and number by number."""
+    p, h, odds = net.p, toxicity.UNITS, []
+    for w in words:
+        short = [net.trigrams.get(g, 0) for g in toxicity.trigrams(w)]
+        long = [net.gram_odds.get(g, 0.0) for g in toxicity.grams(w)] or [0.0]
+        x = np.concatenate([p["words"][net.vocabulary.get(w, 0)], np.mean([p["chars"][k] for k in short], axis=0), [net.word_odds.get(w, 0.0), max(long), sum(long) / len(long)]])
+        odds.append(x)
+
+    def layer(way, inputs):
+        state, out = np.zeros(h), []
+        for x in inputs:
+            g, s = x @ p["x" + way] + p["g" + way], state @ p["u" + way]
+            z, r = 1 / (1 + np.exp(-(g[:h] + s[:h]))), 1 / (1 + np.exp(-(g[h : 2 * h] + s[h : 2 * h])))
+            c = np.tanh(g[2 * h :] + r * s[2 * h :])
+            state = (1 - z) * c + z * state
+            out.append(state)
+        return out
+
+    states = [np.concatenate(x) for x in zip(layer("f", odds), layer("b", odds[::-1])[::-1])]
+    e = np.array([np.tanh(s @ p["a"]) @ p["v"] for s in states])
+    weight = np.exp(e - e.max())
+    return float((weight / weight.sum()) @ np.array(states) @ p["w"] + p["b"][0])
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_scores_equal_plain_loops(seed, monkeypatch):
+    import random
+
+    net, words = tiny_network(seed)
+    net.scale, net.shift = 0.7, -0.3
+    words += ["riverstone", "a", "naïve", "x" * 60, "awfully"]
+    r = random.Random(seed)
+    texts = [" ".join(r.choice(words) + r.choice(["", ".", "!?", "\n", " 7"]) for _ in range(n)) for n in (1, 5, 31, 32, 33, 70, 200)] + [None, "", "12 ."]
     scorer = toxicity.Scorer(net)
-    long = [words[k % 7] for k in range(100)]
-    windows = [long[s : s + toxicity.SPAN] for s in toxicity.window_starts(100)]
-    assert scorer.raw([long])[0] == pytest.approx(scorer.raw(windows).max(), abs=1e-5)
-    assert scorer.scores([None, "", "123"]) == [pytest.approx(0, abs=1e-9)] * 3
+    got = scorer.scores(pa.array(texts, pa.string()))
+    for text, g in zip(texts, got):
+        own = toxicity.words_of(text)
+        raw = max((plain_logit(net, own[s : s + toxicity.SPAN]) for s in toxicity.window_starts(len(own))), default=-30.0) if own else -30.0
+        assert g == pytest.approx(1 / (1 + np.exp(-(raw * 0.7 - 0.3 if own else -30.0))), abs=1e-5)
+    # a long text is scored in parts, with the same windows
+    monkeypatch.setattr(common, "PART", 40)
+    for text, g in zip(texts, got):
+        assert scorer.scores(pa.array([text], pa.string())) == [pytest.approx(g, abs=1e-6)]
