@@ -7,7 +7,7 @@ import argparse
 from pyspark.sql import SparkSession
 
 from .operators import checks
-from .plans import programs
+from .plans import ladder, programs
 from .session import session
 from .sources import sidecars, sinks
 
@@ -43,6 +43,11 @@ def _parser() -> argparse.ArgumentParser:
     for name in ("text", "borders", "out"):
         detect.add_argument(name)
     detect.add_argument("--threshold", type=float, default=0.35)
+    ladder = commands.add_parser("ladder", help="timed jobs over the datasets of a catalogue")
+    ladder.add_argument("catalogue")
+    ladder.add_argument("out", help="folder of CSV that the results are appended to")
+    ladder.add_argument("--minutes", type=float, default=30.0)
+    ladder.add_argument("--matrix", action="store_true", help="go on after a job that fails or takes too long")
     return parser
 
 
@@ -65,6 +70,11 @@ def run(spark: SparkSession, a: argparse.Namespace) -> None:
         print(programs.convert_lists(spark, a.text, a.out, a.kind, a.page_map))
     elif a.command == "index":
         print(programs.build_index(spark, a.text, a.borders, a.log, a.out))
+    elif a.command == "ladder":
+        datasets = [r.asDict() for r in sidecars.catalogue(spark, a.catalogue).collect()]
+        found = ladder.climb(spark, datasets, minutes=a.minutes, stop=not a.matrix)
+        sinks.append_metrics(found, a.out)
+        found.show(100, 60)
     else:
         docs = sidecars.cut_documents(sidecars.borders(spark, a.borders), a.text)
         programs.detect_versions(docs, a.out, a.threshold).show(24)

@@ -45,16 +45,58 @@ def reduced_diagram(sets: Iterable[Iterable[int]], descending: bool = True) -> l
     return [(number, *node) for node, number in unique.items()]
 
 
+def as_binary(nodes: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """The same family as a reduced binary diagram, in which an item that a path leaves out may be there or not.
+
+    ``nodes`` are those of :func:`reduced_diagram`; the items of the family are the universe.
+    """
+    if not nodes:
+        return []
+    by_id = {n[0]: n for n in nodes}
+    root = nodes[-1]
+    items = sorted({n[1] for n in nodes}, reverse=root[1] == max(n[1] for n in nodes))
+    unique: dict[tuple[int, int, int], int] = {}
+    known: dict[tuple[int, int], int] = {}
+    for depth in range(len(items), -1, -1):
+        for k in (0, 1, *by_id):
+            if depth == len(items):
+                if k < 2:
+                    known[k, depth] = k
+                continue
+            own = by_id.get(k)
+            if own and own[1] == items[depth]:
+                high, low = known[own[2], depth + 1], known[own[3], depth + 1]
+            elif (k, depth + 1) in known:  # below an item that is left out: with it, nothing
+                high, low = 0, known[k, depth + 1]
+            else:
+                continue
+            known[k, depth] = low if high == low else unique.setdefault((items[depth], high, low), len(unique) + 2)
+    reached = _below(known[root[0], 0], unique)
+    return [(number, *node) for node, number in unique.items() if number in reached]
+
+
+def _below(top: int, unique: dict[tuple[int, int, int], int]) -> set[int]:
+    """The nodes that a node reaches, itself included."""
+    ends, found, todo = {n: (high, low) for (_, high, low), n in unique.items()}, set(), [top]
+    while todo:
+        n = todo.pop()
+        if n > 1 and n not in found:
+            found.add(n)
+            todo += ends[n]
+    return found
+
+
 def reduced_nodes(sets: Iterable[Iterable[int]], descending: bool = True) -> int:
     """How many nodes that diagram has."""
     return len(reduced_diagram(sets, descending))
 
 
-def diagrams(sets: DataFrame, key: str, column: str, descending: bool = True) -> DataFrame:
-    """(key, id, item, high, low): the nodes of each key's reduced diagram. A key's distinct sets are worked on together."""
+def diagrams(sets: DataFrame, key: str, column: str, descending: bool = True, binary: bool = False) -> DataFrame:
+    """(key, id, item, high, low): the nodes of each key's reduced diagram, zero-suppressed or binary. A key's distinct sets are worked on together."""
 
     def nodes(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = pd.DataFrame(reduced_diagram(pdf[column], descending), columns=["id", "item", "high", "low"])
+        rows = reduced_diagram(pdf[column], descending)
+        found = pd.DataFrame(as_binary(rows) if binary else rows, columns=["id", "item", "high", "low"])
         found.insert(0, key, pdf[key].iloc[0])
         return found
 

@@ -89,3 +89,9 @@ def richest_term(snaps: DataFrame) -> DataFrame:
 def first_large_snapshot(pool: DataFrame, least: int) -> DataFrame:
     """One row: the first snapshot with at least so many masters, else 1."""
     return pool.filter(F.size("masters") >= least).agg(F.coalesce(F.min("snap_id"), F.lit(1)).cast("bigint").alias("snap_id"))
+
+
+def pattern_counts(posting: DataFrame) -> DataFrame:
+    """(term, occurrences, documents): of each single-word pattern its postings and distinct masters; terms combine before the shuffle."""
+    per = posting.groupBy("term", "master").agg(F.count("*").alias("n"))
+    return per.groupBy("term").agg(F.sum("n").alias("occurrences"), F.count("*").alias("documents"))

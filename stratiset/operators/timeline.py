@@ -10,7 +10,8 @@ def timeline(snaps: DataFrame, value: str = "masters") -> DataFrame:
     """(term, ver, value): where the set changes.
 
     A point stands where a run of equal sets begins; an empty set (null value for
-    other types) where versions follow without one, and after the last.
+    other types) where versions follow without one, and after the last. A term has
+    one row a version, so a window holds no more rows than there are versions.
     """
     w = Window.partitionBy("term").orderBy("rel")
     rows = snaps.select("term", "rel", value, F.lag("rel").over(w).alias("p"), F.lag(value).over(w).alias("q"), F.lead("rel").over(w).alias("n"))
@@ -38,9 +39,11 @@ def expand(points: DataFrame) -> DataFrame:
 def as_of(points: DataFrame, asked: DataFrame, value: str = "masters") -> DataFrame:
     """``asked`` (term, ver) with the value of the last point at or before ver; null where there is none.
 
-    Points and questions are ordered together by term, so each row is read once; no range join.
+    Points and distinct questions are ordered together by term, so each row is read once; no range join. A term has at
+    most two rows a version there, however often it is asked; repeated questions meet their answer by a plain join.
     """
     p = points.select("term", "ver", F.lit(0).alias("side"), value, F.lit(None).cast("boolean").alias("q"))
-    q = asked.select("term", "ver", F.lit(1).alias("side"), F.lit(None).cast(dict(points.dtypes)[value]).alias(value), F.lit(True).alias("q"))
+    q = asked.select("term", "ver").distinct().select("term", "ver", F.lit(1).alias("side"), F.lit(None).cast(dict(points.dtypes)[value]).alias(value), F.lit(True).alias("q"))
     w = Window.partitionBy("term").orderBy("ver", "side").rowsBetween(Window.unboundedPreceding, 0)
-    return p.unionByName(q).withColumn(value, F.last(value, ignorenulls=True).over(w)).filter("q").select("term", "ver", value)
+    found = p.unionByName(q).withColumn(value, F.last(value, ignorenulls=True).over(w)).filter("q").select("term", "ver", value)
+    return asked.select("term", "ver").join(found, ["term", "ver"], "left")

@@ -150,6 +150,27 @@ def a10_exchange_file(spark, d):
     return found.select("term", joined("docids").alias("docids"), joined("freqs").alias("freqs"), F.col("doc_term_freq").cast("bigint").alias("df"))
 
 
+@query(t.sql("ly", more=_YEAR_SETS, body="""SELECT i AS item, count(*) AS n_nodes FROM (SELECT DISTINCT i, f FROM (SELECT i, list_sort(list(q)) AS f, list_sort(list(CASE WHEN list_contains(q, i) THEN list_filter(q, lambda x: x <> i) ELSE list_concat([i], q) END)) AS g
+    FROM (SELECT DISTINCT i, list_filter(items, lambda x: x > i) AS p, list_reverse_sort(list_filter(items, lambda x: x <= i)) AS q FROM fam, (SELECT DISTINCT unnest(items) AS i FROM fam)) GROUP BY i, p) WHERE f <> g) GROUP BY i"""))
+def g11_binary_diagram(spark, d):
+    """Nodes by item of the binary diagram of the family of all year sets: functions of the items from it on that depend on it."""
+    pairs = pools.versions_of_pairs(t.ly(spark, d)).select(F.lit("all").alias("family"), "rels").distinct()
+    return metrics.diagrams(pairs, "family", "rels", binary=True).groupBy("item").agg(F.count("*").alias("n_nodes"))
+
+
+@query(t.sql("ly", body=", r AS (SELECT DISTINCT list_sort(list(rel)) AS rels FROM ly GROUP BY term, master) SELECT count(*) AS n_sets, sum(len(rels))::BIGINT AS n_nodes, 16 * sum(len(rels))::BIGINT AS node_bytes FROM r"))
+def g13_logical_bytes(spark, d):
+    """Bytes of the nodes of a pool of diagrams, an estimate."""
+    rows = metrics.pool_nodes(pools.versions_of_pairs(t.ly(spark, d)), "rels")
+    return rows.select("n_sets", "n_nodes", metrics.logical_bytes(F.col("n_nodes")).alias("node_bytes"))
+
+
+@query(t.sql("conv", body="SELECT term, count(*) AS occurrences, count(DISTINCT master) AS documents FROM conv GROUP BY term"))
+def q15_pattern_counts(spark, d):
+    """Of every single-word pattern the versions and the documents that hold it."""
+    return search.pattern_counts(t.conv(spark, d))
+
+
 def _conversations(spark, d):
     rows = t.table(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"))
     return rows.select(F.col("conv_id").cast("bigint").alias("docid"), F.concat(F.lit("conv-"), F.col("conv_id").cast("string")).alias("collection_docid"), F.col("n").cast("bigint").alias("doclength"))

@@ -137,6 +137,30 @@ def test_diagram_holds_exactly_its_sets():
     assert found == sets
 
 
+@pytest.mark.parametrize("descending", [True, False])
+def test_binary_diagram_holds_exactly_its_sets(descending):
+    r = random.Random(9)
+    for _ in range(60):
+        items = sorted(r.sample(range(30), r.randint(1, 5)))
+        sets = {tuple(sorted(r.sample(items, r.randint(0, len(items))))) for _ in range(r.randint(1, 12))}
+        universe = sorted({x for s in sets for x in s}, reverse=descending)
+        nodes = metrics.as_binary(metrics.reduced_diagram(sets, descending))
+        by_id = {n[0]: n for n in nodes}
+        assert all(n[2] != n[3] for n in nodes) and len({n[1:] for n in nodes}) == len(nodes)
+        pointed = {x for n in nodes for x in n[2:]}
+        tops = [n[0] for n in nodes if n[0] not in pointed]
+        if not nodes:
+            assert len(sets) in (0, 2 ** len(universe))
+            continue
+        (at_top,) = tops
+        for bits in itertools.product((0, 1), repeat=len(universe)):
+            chosen, at = {x for x, b in zip(universe, bits) if b}, at_top
+            while at > 1:
+                _, item, high, low = by_id[at]
+                at = high if item in chosen else low
+            assert bool(at) == (tuple(sorted(chosen)) in sets)
+
+
 def test_branch_leaves_the_history_as_it_is(spark):
     steps = spark.createDataFrame([(1, [1]), (2, [2, 3]), (3, [1]), (4, [4]), (5, [5])], "step bigint, items array<bigint>")
     assert rows(families.branch(steps, 4, [5, 2, 1]), "items") == [((1,),), ((1, 2, 5),), ((2, 3),), ((4,),)]

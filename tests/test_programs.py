@@ -81,3 +81,28 @@ def test_command_line(spark, files, capsys):
     out = capsys.readouterr().out
     assert "both_masters" in out and "pattern_factor" in out
     assert spark.read.option("header", True).csv(str(files / "r")).filter("passed = 'true'").count() == 8
+
+
+def test_ladder_stops_and_matrix_goes_on(spark, tmp_path):
+    import json
+
+    from stratiset.__main__ import _parser, run
+    from stratiset.plans import ladder
+    from stratiset.sources import sinks
+
+    lists = spark.createDataFrame([(0, [(1 << 24) | 2, (1 << 24) | 3]), (2, [(2 << 24)])], "list_id bigint, items array<bigint>")
+    packed = f"file://{tmp_path}/a.docs"
+    sinks.write_packed(lists, packed)
+    sinks.write_lists(lists.select("list_id", F.transform("items", lambda x: x % 1000).alias("items")), f"file://{tmp_path}/g.bin")
+    whole = ladder.climb(spark, [{"id": "g", "docs_packed_path": None, "docs_global_path": f"file://{tmp_path}/g.bin"}])
+    assert [r["status"] for r in whole.collect()] == ["skipped"] * 3 + ["ok"]
+    sets = [{"id": "a", "docs_packed_path": packed, "docs_global_path": None}, {"id": "b", "docs_packed_path": f"file://{tmp_path}/none", "docs_global_path": None}, {"id": "c", "docs_packed_path": packed, "docs_global_path": None}]
+    rows = lambda df: [(r["dataset"], r["job"], r["status"], r["n_rows"]) for r in df.collect()]
+    first = [("a", "build", "ok", 1), ("a", "search", "ok", 2), ("a", "pool", "ok", 1), ("a", "family", "skipped", None)]
+    assert rows(ladder.climb(spark, sets)) == [*first, ("b", "build", "failed", None)]
+    found = rows(ladder.climb(spark, sets, stop=False))
+    assert len(found) == 12 and found[:4] == first and [x[2] for x in found[4:8]] == ["failed"] * 3 + ["skipped"] and [x[1:] for x in found[8:]] == [x[1:] for x in first]
+    assert rows(ladder.climb(spark, sets[:1], minutes=0)) == [("a", "build", "threshold_exceeded", 1)]
+    (tmp_path / "sets.json").write_text(json.dumps({"datasets": sets[:1]}))
+    run(spark, _parser().parse_args(["ladder", f"file://{tmp_path}/sets.json", f"file://{tmp_path}/out", "--matrix"]))
+    assert spark.read.option("header", True).csv(f"file://{tmp_path}/out").count() == 4
