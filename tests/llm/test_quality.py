@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import brute
 import hard
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,7 +41,7 @@ def test_measures_equal_the_vocabulary_word_by_word():
     model = sentencepiece.SentencePieceProcessor(model_file=FILE)
     for text, *_ in [(hard.PROSE,), ("日本語 😀 naïve",), ("a a a a",), ("",)]:
         ids = [i for w in text.split() for i in model.encode(w)]
-        row = dict(zip(quality.NAMES, quality.measure_texts([text], FILE)[0]))
+        row = dict(zip(quality.NAMES, quality.measure_texts(pa.array([text]), FILE)[0]))
         n = len(ids)
         assert row["n_tokens"] == n
         assert row["fertility"] == pytest.approx(row["word_chars"] / n if n else 0)
@@ -97,6 +98,89 @@ def test_a_rare_language_that_agrees_stays(spark):
     assert len(got) == 220 and [x for x in got if not x["kept"]] == []
 
 
+def plain_kept(rows: list[dict]) -> dict[int, bool]:
+    """Verdicts by the definition, from the measures of all rows."""
+    import re
+    from collections import Counter
+    from decimal import ROUND_HALF_UP, Decimal
+
+    import numpy as np
+
+    good = [r for r in rows if not r["base_failed"]]
+    rounded = lambda x: float(Decimal(repr(x)).quantize(Decimal(1).scaleb(-quality.DIGITS), ROUND_HALF_UP))
+    band = lambda r: r["lang"] if r["lang"] and re.search("^[a-z]{2,3}$", r["lang"]) else r["script"]
+
+    def quartiles(own, measure):
+        return np.percentile([rounded(r[measure]) for r in own], [25, 50, 75])
+
+    def drawn(measure, own, parent, known):
+        n, q = len(own), quartiles(own, measure)
+        share = min(n / quality.SUPPORT, 1)
+        placed = max(share, known * (n - 1) / (n - 1 + quality.AGREE))
+        middle = placed * q[1] + (1 - placed) * parent[0]
+        width = share * (q[2] - q[0]) + (1 - share) * parent[1]
+        return middle, width + known * placed * (1 - placed) * abs(q[1] - parent[0]) * 4 / quality.FENCES[measure]
+
+    def groups(key):
+        out: dict = {}
+        for r in good:
+            out.setdefault(key(r), []).append(r)
+        return out
+
+    known, fences = min(len(good) / quality.SUPPORT, 1), {}
+    for m in quality.FENCES:
+        a, b, c = quality.NATURAL[m]
+        whole = drawn(m, good, (b, c - a), 0.0) if good else None
+        scripts = {s: drawn(m, own, whole, known) for s, own in groups(lambda r: r["script"]).items()}
+        for name, own in groups(band).items():
+            count = Counter(r["script"] for r in own)
+            fences[name, m] = drawn(m, own, scripts[max(sorted(count), key=count.get)], known)
+    out = {}
+    for r in rows:
+        def beyond(m, side):
+            middle, width = fences[band(r), m]  # noqa: B023
+            far = quality.FENCES[m] * max(width, quality.FLOORS[m]) * (1 + quality.SHORT / max(r["n_tokens"], 1))  # noqa: B023
+            return (r[m] - middle) * side > far  # noqa: B023
+        odd = not r["base_failed"] and (beyond("fertility", -1) or beyond("fertility", 1) or beyond("fallback", 1) or (beyond("entropy", -1) and beyond("evenness", -1)))
+        out[r["doc_id"]] = not r["base_failed"] and not odd
+    return out
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_verdicts_equal_plain_ones(spark, sf):
+    data = f"/root/testdata/{sf}"
+    lang = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "lang").collect()}
+    got = [r.asDict() | {"lang": lang[r["doc_id"]]} for r in op7_quality_rules(spark, data).collect()]
+    want = plain_kept(got)
+    assert {r["doc_id"]: r["kept"] for r in got} == want
+    assert len({k for k in want.values()}) == 2
+
+
+def test_verdicts_do_not_depend_on_partitions(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    a, b = ({r["doc_id"]: r["kept"] for r in quality.quality(docs.repartition(n), FILE).collect()} for n in (1, 7))
+    assert a == b
+
+
+@pytest.mark.parametrize("name", ["__band", "__support", "__fertility", "__stratiset_band", "__Stratiset", "kept", "base_failed", "__stratiset_row"])
+def test_columns_of_any_name_are_kept(spark, name):
+    docs = hard.documents(spark, True, False).withColumn(name, F.lit("own"))
+    kept = quality.drop_poor(docs, FILE)
+    assert kept.columns == docs.columns and {r[name] for r in kept.collect()} <= {"own"}
+
+
+def test_a_long_text_in_parts_is_measured_alike(monkeypatch):
+    from stratiset.llm import common
+
+    texts = [hard.PROSE + "\n", "again and again the same eight words here " * 30, "a\nb\n\na\n b\n#$ é 日本 \U0001f600 x▁y " * 20, hard.rows()[8][1][:30_000]]
+    want = [quality.measure_texts(pa.array([t]), FILE)[0] for t in texts]
+    assert quality.measure_texts(pa.array(texts), FILE) == want
+    monkeypatch.setattr(common, "PART", 60)
+    for text, w in zip(texts, want):
+        got = quality.measure_texts(pa.array([text]), FILE)[0]
+        assert got[:6] == w[:6] and got[10] == w[10] and got[6:10] == pytest.approx(w[6:10])
+
+
 def test_hard_rows(spark):
     docs = hard.documents(spark)
     got = quality.quality(docs, FILE).collect()
@@ -111,5 +195,5 @@ def test_hard_rows(spark):
 
 
 def test_scripts():
-    found = [quality.script_of(t) for t in ("abc é", "привет", "日本", "한국", "123 !", "", "ไทย", "कमल", "عرب")]
+    found = [quality.script_named(quality.script_counts(t)) for t in ("abc é", "привет", "日本", "한국", "123 !", "", "ไทย", "कमल", "عرب")]
     assert found == ["Latn", "Cyrl", "Hani", "Hang", "Zyyy", "Zyyy", "Thai", "Deva", "Arab"]
