@@ -219,6 +219,10 @@ class ChunkCache:
         self.young: dict = {}
         self.old: dict = {}
 
+    def clear(self) -> None:
+        """At the end of a task, as its worker may serve other operators next."""
+        self.young, self.old = {}, {}
+
     def values(self, chunks: list) -> list:
         young, old = self.young, self.old
         found = list(map(young.get, chunks))
