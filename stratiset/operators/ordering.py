@@ -137,6 +137,8 @@ def known(df: DataFrame, bucket: Bucket, order: Sequence[Column | str], value: C
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over as many partitions as there are cores where its plan has fewer (a small file is one partition); larger inputs are not shuffled."""
+    """``df`` over as many partitions as there are cores where it scans fewer (a small file is one partition); larger inputs are not shuffled."""
+    if df._jdf.queryExecution().executedPlan().nodeName() == "AdaptiveSparkPlan":
+        return df  # it is shuffled already, and to ask for its partitions would run that
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -328,3 +328,11 @@ def test_gaps_are_filled(spark):
     assert full.count() == 5001 and full.filter("size(items) > 0").count() == 2
     assert identifiers.fill_gaps(df.limit(0), "k", "items").count() == 0
     assert rows(identifiers.rerank(spark.createDataFrame([(1, [9, 4]), (2, [9])], "set_id bigint, items array<bigint>")), "set_id", "items") == [(1, (1, 2)), (2, (1,))]
+
+
+def test_small_scans_are_spread_and_shuffled_tables_left(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
+    cores = spark.sparkContext.defaultParallelism
+    assert docs.rdd.getNumPartitions() < cores == ordering.spread(docs).rdd.getNumPartitions()
+    for df in (docs.groupBy("doc_id").count(), spark.range(0, 100, 1, 2 * cores)):
+        assert ordering.spread(df) is df
