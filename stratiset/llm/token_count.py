@@ -5,8 +5,9 @@ row starts. In each round every row finds the lowest rank among its adjacent
 pairs and applies that pair at all its places at once (left to right where they
 overlap); rows without a known pair are done, and what symbols they have left is
 their number of tokens. A row needs as many rounds as it uses distinct pairs, so
-the few pre-tokens over ``LONG`` bytes take a heap of pairs instead, which is
-exact too and does not grow with the square of their length.
+in the rounds of a pre-token over ``LONG`` bytes only the places of the round's
+pair and their neighbours are looked at (the places of every rank are kept), and
+its cost does not grow with the square of its length.
 
 Counts of pre-tokens and of the pieces between single spaces are kept in bounded
 caches. Nothing is shuffled.
@@ -46,14 +47,13 @@ class ByteBPE:
         self.merged = np.array([vocab[a + b] for a, b in merges], np.int64)
         self.order = np.argsort(keys)
         self.keys = keys[self.order]
-        self.ranks = {int(k): n for n, k in enumerate(keys)}
         special = [t["content"] for t in spec["added_tokens"]]
         self.special = regex.compile("|".join(regex.escape(t) for t in sorted(special, key=len, reverse=True))) if special else None
         self.split = regex.compile(SPLIT)
         self.loose = regex.compile(r"^\s|\s$|\s{2}")
         self.border = regex.compile(r"(?<=\S) (?=\S)")
-        self.tokens = common.ChunkCache(self._count_tokens, 200_000)
-        self.pieces = common.ChunkCache(self._count_pieces, 200_000)
+        self.tokens = common.ChunkCache(self._count_tokens, 150_000)
+        self.pieces = common.ChunkCache(self._count_pieces, 150_000)
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         keys = (left << 32) + right
@@ -103,28 +103,46 @@ class ByteBPE:
         return counts
 
     def merge_long(self, row: bytes) -> int:
-        """The same for one long row, by a heap of pairs."""
-        symbols = self.byte_ids[np.frombuffer(row, np.uint8)].tolist()
-        n = len(symbols)
-        left, right = list(range(-1, n - 1)), list(range(1, n + 1))
-        get = self.ranks.get
-        heap = [(r, i) for i in range(n - 1) if (r := get((symbols[i] << 32) + symbols[i + 1])) is not None]
-        heapq.heapify(heap)
+        """The same rounds over one long row, of which each touches only the places of its pair and their neighbours."""
+        symbols, n = self.byte_ids[np.frombuffer(row, np.uint8)], len(row)
+        left, right = np.arange(-1, n - 1), np.arange(1, n + 1)
+        ranks = np.full(n, NEVER)
+        places: dict[int, list[np.ndarray]] = {}
+        waiting: list[int] = []
+
+        def look(at: np.ndarray) -> None:
+            ranks[at] = NEVER
+            at = at[right[at] < n]
+            found = self.rank(symbols[at], symbols[right[at]])
+            ranks[at] = found
+            at, found = at[found != NEVER], found[found != NEVER]
+            order = np.argsort(found, kind="stable")
+            cuts = np.flatnonzero(np.r_[True, np.diff(found[order]) != 0]) if len(order) else []
+            for own in np.split(at[order], cuts[1:]) if len(order) else ():
+                rank = int(ranks[own[0]])
+                if rank not in places:
+                    heapq.heappush(waiting, rank)
+                places.setdefault(rank, []).append(own)
+
+        look(np.arange(n))
         count = n
-        while heap:
-            r, i = heapq.heappop(heap)
-            j = right[i] if symbols[i] >= 0 else n
-            if j >= n or get((symbols[i] << 32) + symbols[j]) != r:
+        while waiting:
+            rank = heapq.heappop(waiting)
+            at = np.unique(np.concatenate(places.pop(rank)))
+            at = at[ranks[at] == rank]
+            if not len(at):
                 continue
-            symbols[i], symbols[j] = int(self.merged[r]), -1
-            right[i] = k = right[j]
-            count -= 1
-            if k < n:
-                left[k] = i
-                if (q := get((symbols[i] << 32) + symbols[k])) is not None:
-                    heapq.heappush(heap, (q, i))
-            if (h := left[i]) >= 0 and (q := get((symbols[h] << 32) + symbols[i])) is not None:
-                heapq.heappush(heap, (q, h))
+            # in a run of overlapping places every second one counts
+            place = np.arange(len(at))
+            first = np.maximum.accumulate(np.where(np.r_[True, right[at[:-1]] != at[1:]], place, 0))
+            at = at[(place - first) % 2 == 0]
+            gone = right[at]
+            after = right[gone]
+            symbols[at], ranks[gone], right[at] = self.merged[rank], NEVER, after
+            left[after[after < n]] = at[after < n]
+            count -= len(at)
+            before = left[at]
+            look(np.unique(np.r_[before[before >= 0], at]))
         return count
 
     def _count_tokens(self, tokens: list[str]) -> list[int]:
@@ -173,8 +191,14 @@ def _count(path: str, limit: int):
     def batches(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = byte_bpe(path)
         for batch in common.slices(rows):
-            n = pa.array(tokenizer.counts(batch.column(1).to_pylist()), pa.int64())
-            yield pa.record_batch([batch.column(0), batch.column(2), n], names=["doc_id", "n_bytes", "n_tokens"])
+            texts = batch.column(1).to_pylist()
+            if len(texts) == 1:  # a long text comes by itself
+                found = [sum(tokenizer.counts([part])[0] for part in common.parts(texts[0] or ""))]
+            else:
+                found = tokenizer.counts(texts)
+            yield pa.record_batch([batch.column(0), batch.column(2), pa.array(found, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
+        tokenizer.pieces.clear()
+        tokenizer.tokens.clear()
 
     return batches
 

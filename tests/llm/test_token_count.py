@@ -46,7 +46,16 @@ def test_rows_that_overlap_themselves_and_long_rows():
     bpe, r = token_count.byte_bpe(FILE), random.Random(1)
     words = ["a" * n for n in range(1, 70)] + ["ab" * n for n in range(1, 40)] + ["".join(r.choice("abcdeé") for _ in range(r.randint(1, 200))) for _ in range(200)]
     assert bpe.merge([w.encode() for w in words]).tolist() == [want(w) for w in words]
-    for w in words[::7]:
+    for w in words:
         assert bpe.merge_long(w.encode()) == want(w)
     long = "".join(r.choice("abcdefgh") for _ in range(50_000))
     assert bpe.counts([long]) == [want(long)]
+
+
+def test_a_long_text_in_parts_has_the_same_count(spark, monkeypatch):
+    from stratiset.llm import common
+
+    text = "it's  word\n\n one<|endoftext|>two \t x1y2 \x85 z\u3000 " * 30
+    monkeypatch.setattr(common, "PART", 25)
+    assert sum(token_count.byte_bpe(FILE).counts([p])[0] for p in common.parts(text)) == want(text)
+    assert len(list(common.parts(text))) > 20
