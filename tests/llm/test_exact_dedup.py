@@ -72,3 +72,25 @@ def test_settings_are_put_back(spark):
 def test_no_python_in_the_plan(spark, data):
     plan = op9_exact_dedup(spark, data)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+@pytest.mark.parametrize("digest", [exact_dedup.sha256, lambda norm: F.substring(exact_dedup.sha256(norm), 1, 1)])
+def test_a_later_call_goes_on_from_the_state(spark, tmp_path, digest):
+    data, state = "/root/testdata/sf0.001", f"file://{tmp_path}/state"
+    for k in range(2):
+        spark.read.parquet(f"{data}/documents.parquet").filter(F.col("doc_id") % 2 == k).write.parquet(f"file://{tmp_path}/docs{k}")
+    first, second = (spark.read.parquet(f"file://{tmp_path}/docs{k}") for k in range(2))
+    assert rows_of(exact_dedup.deduplicate(first, digest, state=state)) == rows_of(exact_dedup.deduplicate(first))
+    got = exact_dedup.deduplicate(second, digest, state=state, earlier=first)
+    whole = exact_dedup.deduplicate(spark.read.parquet(f"{data}/documents.parquet")).filter("doc_id % 2 = 1")
+    assert rows_of(got) == rows_of(whole)
+    assert whole.filter("keep_id % 2 = 0").count() > 0
+
+
+@pytest.mark.parametrize("unique", [True, False])
+def test_columns_of_any_name_are_kept(spark, unique):
+    docs = hard.documents(spark, unique)
+    for name in ("__stratiset_row", "__stratiset", "__stratiset_"):
+        docs = docs.withColumn(name, F.lit("own"))
+    kept = exact_dedup.drop_copies(docs)
+    assert kept.columns == docs.columns and {r["__stratiset_row"] for r in kept.collect()} == {"own"}

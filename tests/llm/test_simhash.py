@@ -135,3 +135,12 @@ def test_a_long_text_in_parts_has_the_same_fingerprint(monkeypatch):
     for text in texts:
         assert simhash.print_texts([text]).tolist() == [brute.simhash(text)]
     assert simhash.print_texts(texts).tolist() == [brute.simhash(t) for t in texts]
+
+
+@pytest.mark.parametrize("unique", [True, False])
+def test_columns_of_any_name_are_kept(spark, unique):
+    docs = hard.documents(spark, unique)
+    for name in ("__stratiset_row", "__stratiset", "__stratiset_"):
+        docs = docs.withColumn(name, F.lit("own"))
+    kept = simhash.drop_near_copies(docs)
+    assert kept.columns == docs.columns and {r["__stratiset_row"] for r in kept.collect()} == {"own"}
