@@ -64,12 +64,11 @@ def codes_of(url: Column) -> Column:
 
 def _grams(labelled: DataFrame) -> DataFrame:
     """Counts of three following codes (two before, one now) by class."""
-    rolled = F.aggregate(
-        "codes",
-        F.struct(F.lit(0).cast("int").alias("h"), F.array().cast("array<int>").alias("seen")),
-        lambda acc, c: F.struct(((acc.h * SYMBOLS + c) % TABLE).cast("int").alias("h"), F.concat(acc.seen, F.array(((acc.h * SYMBOLS + c) % TABLE).cast("int"))).alias("seen")),
-    )
-    return labelled.select("allowed", F.explode(rolled.seen).alias("gram")).groupBy("allowed", "gram").agg(F.count("*").alias("n"))
+    # the codes moved by two and by one place, so that each step is one pass over the array
+    two, one = F.concat(F.array(F.lit(0), F.lit(0)), "codes"), F.concat(F.array(F.lit(0)), "codes")
+    step = lambda a, b: (a * SYMBOLS + b).cast("int")
+    moved = F.zip_with(F.zip_with(two, one, step), F.col("codes"), step)
+    return labelled.select("allowed", F.explode(moved).alias("gram")).filter("gram IS NOT NULL").groupBy("allowed", "gram").agg(F.count("*").alias("n"))
 
 
 def _model(grams: DataFrame, spark) -> DataFrame:
@@ -139,7 +138,9 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES) -> DataFra
     base = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), ascii_lower(url).alias("low"))
     base = base.withColumn("found", rule_of(F.col("host"), F.col("path"), rules)).withColumn("codes", codes_of(F.col("low")))
     labelled = base.filter("found IS NOT NULL").select((F.col("found.verdict") == "allow").alias("allowed"), "codes", F.substring(F.md5(F.col("low").cast("binary")), 1, 1).isin("0", "1", "2").alias("held"))
-    model = common.materialise(_model(common.materialise(_grams(labelled.filter("NOT held")), "url-grams"), pages.sparkSession), "url-model")
+    with common.only(pages.sparkSession) as keep:
+        model = common.materialise(_model(common.materialise(_grams(labelled.filter("NOT held")), "url-grams"), pages.sparkSession), "url-model")
+        keep.append(model)
     least = common.materialise(_threshold(bin_of(model, labelled.filter("held"))), "url-threshold")
     said = F.when(F.col("bin") >= least.scalar(), "allow").otherwise("block")
     return bin_of(model, base).select("page_id", "host", "path", F.col("found.rule").alias("rule"), F.coalesce(F.col("found.verdict"), said).alias("verdict"))
