@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
+#: Bytes whose trigrams are looked up at once.
+STRETCH = 1 << 20
 #: Alternatives and exact strings that a derived query holds; past it the weaker query is used.
 MOST = 64
 
@@ -62,7 +64,7 @@ MORE = (
     _rule("cloud", r"AIza[A-Za-z0-9_-]{35}"),
     _rule("payment", r"[sr]k_live_[A-Za-z0-9]{16,}"),
     _rule("private", rf"-----BEGIN ((?:[A-Z]+ )*)PRIVATE KEY-----(?:{_END_LINE}|{_SAME_LINE}{_LINES})"),
-    _rule("userinfo", r"[a-z][a-z0-9+.-]{1,20}://[^\x00-\x20/:@\"']{1,100}:[^\x00-\x20/:@\"']{3,100}@[A-Za-z0-9.-]+"),
+    _rule("userinfo", r"[a-z][a-z0-9+.-]{1,20}://[^\x00-\x20/:@\"']*:[^\x00-\x20/:@\"']{3,}@[A-Za-z0-9.-]+"),
 )
 
 Query = frozenset  # alternatives, each a frozenset of trigrams; {frozenset()}: anything may match
@@ -172,15 +174,14 @@ class TrigramIndex:
 
     def postings(self, blobs: list[bytes]) -> dict[str, set[int]]:
         found: dict[str, set[int]] = {t: set() for t in self.names}
-        joined = np.frombuffer(b"\0\0".join(blobs), np.uint8).astype(np.int32)
-        if len(joined) < 3:
-            return found
-        numbers = self.numbers[(joined[:-2] << 16) | (joined[1:-1] << 8) | joined[2:]]
-        at = np.flatnonzero(numbers)
-        ends = np.cumsum([len(b) + 2 for b in blobs])
-        pairs = np.unique(numbers[at].astype(np.int64) << 32 | np.searchsorted(ends, at, side="right"))
-        for number, doc in zip((pairs >> 32).tolist(), (pairs & 0xFFFFFFFF).tolist()):
-            found[self.names[number - 1]].add(doc)
+        joined, ends = np.frombuffer(b"\0\0".join(blobs), np.uint8), np.cumsum([len(b) + 2 for b in blobs])
+        for begin in range(0, len(joined) - 2, STRETCH):
+            part = joined[begin : begin + STRETCH + 2].astype(np.int32)
+            numbers = self.numbers[(part[:-2] << 16) | (part[1:-1] << 8) | part[2:]]
+            at = np.flatnonzero(numbers)
+            pairs = np.unique(numbers[at].astype(np.int64) << 32 | np.searchsorted(ends, at + begin, side="right"))
+            for number, doc in zip((pairs >> 32).tolist(), (pairs & 0xFFFFFFFF).tolist()):
+                found[self.names[number - 1]].add(doc)
         return found
 
 
