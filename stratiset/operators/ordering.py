@@ -62,15 +62,16 @@ def cut(df: DataFrame, bucket: Bucket) -> tuple[DataFrame, list[str]]:
     return df.select("*", *(c.alias(n) for c, n in zip(bucket, names))), names
 
 
-def _sum_before(totals: DataFrame, names: list[str]) -> DataFrame:
-    """The buckets of ``totals`` with __before, the sum of __total over all buckets before."""
+def _sum_before(totals: DataFrame, names: list[str], many: int = 1) -> DataFrame:
+    """The buckets of ``totals`` with __before0 and so on, the sums of __total0 and so on over all buckets before."""
     *outer, inner = names
     window = (Window.partitionBy(*outer) if outer else Window).orderBy(inner)
-    near = totals.select(*names, (F.sum("__total").over(window) - F.col("__total")).alias("__before"))
+    near = totals.select(*names, *((F.sum(f"__total{k}").over(window) - F.col(f"__total{k}")).alias(f"__before{k}") for k in range(many)))
     if not outer:
         return near
-    far = _sum_before(totals.groupBy(*outer).agg(F.sum("__total").alias("__total")), outer).withColumnRenamed("__before", "__far")
-    return near.join(far, outer).select(*names, (F.col("__before") + F.col("__far")).alias("__before"))
+    far = _sum_before(totals.groupBy(*outer).agg(*(F.sum(f"__total{k}").alias(f"__total{k}") for k in range(many))), outer, many)
+    far = far.select(*outer, *(F.col(f"__before{k}").alias(f"__far{k}") for k in range(many)))
+    return near.join(far, outer).select(*names, *((F.col(f"__before{k}") + F.col(f"__far{k}")).alias(f"__before{k}") for k in range(many)))
 
 
 def _last_before(lasts: DataFrame, names: list[str]) -> DataFrame:
@@ -100,21 +101,28 @@ def _left(rows: DataFrame, bucket: Bucket, names: list[str], *own: str) -> DataF
     return rows.drop(*own, *(n for n in names if not any(isinstance(c, str) and c == n for c in bucket)))
 
 
+def running_sums(df: DataFrame, bucket: Bucket, order: Sequence[Column | str], values: dict[str, Column]) -> DataFrame:
+    """``df`` with, by name, the sums of values over all rows up to and with this one."""
+    many = range(len(values))
+    rows, names = cut(df.select("*", *(v.alias(f"__value{k}") for k, v in enumerate(values.values()))), bucket)
+    before = _sum_before(rows.groupBy(*names).agg(*(F.sum(f"__value{k}").alias(f"__total{k}") for k in many)), names, len(values))
+    inside = Window.partitionBy(*names).orderBy(*_order(order)).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.select("*", *(F.sum(f"__value{k}").over(inside).alias(f"__near{k}") for k in many)).join(before, names)
+    rows = rows.withColumns({out: F.col(f"__near{k}") + F.col(f"__before{k}") for k, out in enumerate(values)})
+    return _left(rows, bucket, names, *(f"__{part}{k}" for part in ("value", "near", "before") for k in many))
+
+
 def running_sum(df: DataFrame, bucket: Bucket, order: Sequence[Column | str], value: Column, out: str) -> DataFrame:
     """``df`` with the sum of ``value`` over all rows up to and with this one."""
-    rows, names = cut(df.withColumn("__value", value), bucket)
-    before = _sum_before(rows.groupBy(*names).agg(F.sum("__value").alias("__total")), names)
-    inside = Window.partitionBy(*names).orderBy(*_order(order)).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("__near", F.sum("__value").over(inside)).join(before, names)
-    return _left(rows.withColumn(out, F.col("__near") + F.col("__before")), bucket, names, "__value", "__near", "__before")
+    return running_sums(df, bucket, order, {out: value})
 
 
 def numbered(df: DataFrame, bucket: Bucket, order: Sequence[Column | str], out: str, start: int = 1) -> DataFrame:
     """``df`` with gapless numbers that follow the order."""
     rows, names = cut(df, bucket)
-    before = _sum_before(rows.groupBy(*names).agg(F.count("*").alias("__total")), names)
+    before = _sum_before(rows.groupBy(*names).agg(F.count("*").alias("__total0")), names)
     rows = rows.withColumn("__near", F.row_number().over(Window.partitionBy(*names).orderBy(*_order(order)))).join(before, names)
-    return _left(rows.withColumn(out, (F.col("__near") + F.col("__before") + start - 1).cast("bigint")), bucket, names, "__near", "__before")
+    return _left(rows.withColumn(out, (F.col("__near") + F.col("__before0") + start - 1).cast("bigint")), bucket, names, "__near", "__before0")
 
 
 def lagged(df: DataFrame, bucket: Bucket, order: Sequence[Column | str], value: Column | str, out: str) -> DataFrame:

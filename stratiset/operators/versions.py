@@ -18,17 +18,20 @@ def _order(by: str) -> tuple[ordering.Bucket, list[str]]:
     return ordering.number_buckets("doc_id"), ["doc_id"]
 
 
-def _similar(docs: DataFrame, head: Column, measure: str, bucket: ordering.Bucket, order: list[str]) -> DataFrame:
-    """``docs`` (doc_id, text, and buckets that are columns) with their similarity to the one before."""
-    words = T.long_words(head).alias("words")
-    rows = ordering.lagged(ordering.spread(docs).select("*", words), bucket, order, F.col("words"), "before")
+def _similar(docs: DataFrame, head: Column, measure: str, names: list[str], order: list[str]) -> DataFrame:
+    """``docs`` (doc_id, text, and buckets of these names) with their similarity to the one before."""
+    # dealt to the buckets first, so that words are cut out by all tasks and no window shuffles again
+    rows = docs.repartition(*names).select("*", T.long_words(head).alias("words"))
+    rows = ordering.lagged(rows, names, order, F.col("words"), "before")
     value = S.jaccard(F.col("before"), F.col("words")) if measure == "jaccard" else S.containment(F.col("before"), F.col("words"))
     return rows.withColumn("similarity", F.when(F.col("before").isNotNull(), value)).drop("words", "before")
 
 
 def adjacent_similarity(docs: DataFrame, head: Column, measure: str = "jaccard", by: str = "text") -> DataFrame:
     """(doc_id, text, similarity) with the document before, in the order of (text, doc_id) or of ``doc_id``; null for the first."""
-    return _similar(docs.select("doc_id", "text"), head, measure, *_order(by)).select("doc_id", "text", "similarity")
+    bucket, order = _order(by)
+    rows, names = ordering.cut(docs.select("doc_id", "text"), bucket)
+    return _similar(rows, head, measure, names, order).select("doc_id", "text", "similarity")
 
 
 def articles(docs: DataFrame, head: Column, threshold: float = THRESHOLD, measure: str = "jaccard", by: str = "text") -> DataFrame:
@@ -42,7 +45,7 @@ def articles(docs: DataFrame, head: Column, threshold: float = THRESHOLD, measur
     rows, names = ordering.cut(docs.select("doc_id", "text"), bucket)
     rows = _similar(rows, head, measure, names, order)
     new = F.when(F.col("similarity").isNull() | (F.col("similarity") < threshold), 1).otherwise(0)
-    rows = ordering.numbered(ordering.running_sum(rows, names, order, new, "article"), names, order, "place", 0).select("doc_id", F.col("article").cast("bigint").alias("article"), "place")
+    rows = ordering.running_sums(rows, names, order, {"article": new, "place": F.lit(1)}).select("doc_id", F.col("article").cast("bigint").alias("article"), F.col("place").cast("bigint").alias("place"))
     first = rows.groupBy("article").agg(F.min("place").alias("first"))
     return rows.join(first, "article").select("doc_id", "article", (F.col("place") - F.col("first")).alias("version"))
 
