@@ -192,6 +192,7 @@ def _pack(path: str, with_ids: bool, whole: bool):
                     held = 0
         if docs:
             yield close(True)
+        tokenizer.clear()
 
     return batches
 

@@ -225,6 +225,8 @@ def _encode(path: str, with_ids: bool):
             columns = [pa.array([len(i) for i in ids], pa.int64()), pa.array([int(codec.is_byte[i].sum()) for i in ids], pa.int64()), pa.array([zlib.crc32(f[0]) for f in found], pa.int64()), pa.array([f[1] == 0 for f in found], pa.bool_()), pa.array([f[2] for f in found], pa.bool_())]
             more = [pa.array([i.astype(np.int32) for i in ids], pa.list_(pa.int32()))] if with_ids else []
             yield pa.record_batch([batch.column(0), *columns, *more], names=["doc_id", "n_pieces", "n_byte_pieces", "ids_crc32", "parity", "decodes", *["ids"] * with_ids])
+        codec.chunks.clear()
+        codec.words.clear()
 
     return batches
 

@@ -62,6 +62,10 @@ class WordBPE:
             begin += n
         return out
 
+    def clear(self) -> None:
+        self.parts.clear()
+        self.cache.clear()
+
     def ids(self, texts: pa.Array) -> list[bytes]:
         """Per text of a column its ids. A long text comes as a column by itself."""
         found = [self._ids(part) for part in texts_by_parts(texts)]
