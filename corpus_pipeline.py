@@ -45,8 +45,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder and read again."""
+    """All stages over ``documents``, each written to the shared folder and read again; what only a stage before needed is deleted."""
     docs = common.documents(spark, sf_dir)
     for k, (_, stage) in enumerate(STAGES):
-        docs = common.materialise(stage(spark, docs, sf_dir), f"pipeline-{k}")
+        with common.only(spark) as keep:
+            kept = common.materialise(stage(spark, docs, sf_dir), f"pipeline-{k}")
+            keep.append(kept)
+        if k:
+            common.discard(docs)
+        docs = kept
     return docs
