@@ -33,7 +33,9 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 STREAM_CONF = {
     "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "300",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "100",
+    # an executor holds many stores, each with buffers of its own
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "8",
     # each store would otherwise reserve 4 MB for its manifest alone
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
