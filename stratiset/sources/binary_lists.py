@@ -170,9 +170,18 @@ def read(found: DataFrame, width: int = 4, range_bytes: int = RANGE) -> DataFram
     return rows.sortWithinPartitions("path", "offset").mapInArrow(_ranges(width), SCHEMA)
 
 
-def encode_list(items: list[int], width: int) -> bytes:
-    """A list as it lies in a file. Values that do not fit raise; longs stand for their 64 bits."""
-    values = np.array(items, np.int64)
+def encode_lists(lists: pa.ListArray, width: int) -> tuple[memoryview, np.ndarray]:
+    """Lists as they lie in a file, and the bytes of each. Values that do not fit raise; longs stand for their 64 bits."""
+    n = np.diff(lists.offsets.to_numpy())
+    flat = lists.flatten()
+    if lists.null_count or flat.null_count:
+        raise ValueError("a list or a value is null")
+    values = flat.to_numpy()
     if width == 4 and len(values) and not (0 <= values.min() and values.max() < 1 << 32):
         raise ValueError("a value does not fit 32 bits")
-    return len(values).to_bytes(4, "little") + (values.astype("<u4") if width == 4 else values.view(np.uint64).astype("<u8")).tobytes()
+    words = 1 + n.astype(np.int64) * (width // 4)
+    heads = np.cumsum(words) - words
+    out, own = np.empty(int(words.sum()), "<u4"), np.ones(int(words.sum()), bool)
+    out[heads], own[heads] = n, False
+    out[own] = values.astype("<u4") if width == 4 else values.astype("<i8").view("<u4")
+    return memoryview(out).cast("B"), words * 4

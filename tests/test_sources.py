@@ -219,3 +219,39 @@ def test_graph_of_a_family(spark, tmp_path):
     lines = [r["value"] for r in spark.read.text(str(tmp_path / "g")).collect()]
     assert sum("label=" in x for x in lines) == 2 + 5 - 1 and sum("->" in x for x in lines) == 10
     assert any(x.startswith("digraph") for x in lines) and "}" in lines
+
+
+def test_no_row_goes_through_the_driver(spark, tmp_path, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    def refused(*_, **__):
+        raise AssertionError("rows are sent to the driver")
+
+    monkeypatch.setattr(DataFrame, "toLocalIterator", refused)
+    lists = [[k, k + 1] if k % 3 else [] for k in range(6000)]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(lists) if x], "list_id bigint, items array<bigint>").repartition(5)
+    for width in (4, 8):
+        assert sinks.write_lists(df, str(tmp_path / "got"), width) == 6000
+        assert (tmp_path / "got").read_bytes() == open(lists_file(tmp_path / "want", lists, width), "rb").read()
+    words = [f"w{k}" * (k % 4) for k in range(70_000)]
+    docs = spark.createDataFrame(list(enumerate(words)), "doc_id bigint, text string").repartition(5)
+    sinks.write_raw_text(docs, str(tmp_path / "text"), str(tmp_path / "borders"))
+    assert (tmp_path / "text").read_text() == "".join(words)
+    assert np.frombuffer((tmp_path / "borders").read_bytes(), "<u8").tolist() == np.cumsum([0, *map(len, words)]).tolist()
+    sinks.write_vocabulary(docs.select(F.col("doc_id").alias("term"), F.col("text").alias("word")), str(tmp_path / "voc"))
+    assert [r["word"] for r in sidecars.vocabulary(spark, str(tmp_path / "voc")).orderBy("term").collect()] == words
+    pages = docs.select(F.col("doc_id").alias("master"), F.col("doc_id").alias("global_from"), (F.col("doc_id") + 1).alias("global_to"))
+    sinks.write_page_map(pages, str(tmp_path / "map"))
+    assert (tmp_path / "map").read_bytes() == np.arange(70_001, dtype="<u4").tobytes()
+    ciff.write(docs.select(F.format_string("%06d", "doc_id").alias("term"), F.array("doc_id").alias("docids"), F.array(F.lit(2)).alias("freqs")), docs.select("doc_id", "text", "doc_id").toDF("docid", "collection_docid", "doclength"), str(tmp_path / "ciff"))
+    assert [(r["term"], r["docids"], r["freqs"]) for r in ciff.posting_lists(spark, str(tmp_path / "ciff")).orderBy("list_id").collect()] == [(f"{k:06d}", [k], [2]) for k in range(70_000)]
+    assert [r["collection_docid"] for r in ciff.records(spark, str(tmp_path / "ciff")).orderBy("docid").collect()] == words
+    assert not [x.name for x in tmp_path.iterdir() if x.name.startswith("_parts")]
+
+
+def test_files_where_only_hadoop_reaches(spark, tmp_path):
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.c.link./d", f"file://{tmp_path}")
+    lists = [[k] for k in range(3000)]
+    df = spark.createDataFrame(list(enumerate(lists)), "list_id bigint, items array<bigint>").repartition(3)
+    assert sinks.write_lists(df, "viewfs://c/d/got") == 3000
+    assert (tmp_path / "got").read_bytes() == open(lists_file(tmp_path / "want", lists), "rb").read()
