@@ -6,20 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import packing as P
-from . import families, metrics, pools, timeline
+from . import families, metrics, ordering, pools, timeline
 
 
 def _differ(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:
     """One row: rows of a that b lacks (missing) and of b that a lacks (extra), by one grouping of both."""
     both = a.select(*columns, F.lit(1).alias("__s")).unionByName(b.select(*columns, F.lit(-1).alias("__s")))
-    each = both.groupBy(*columns).agg(F.sum("__s").alias("n"))
+    each = ordering.dealt(both, *columns).groupBy(*columns).agg(F.sum("__s").alias("n"))
     return each.agg(F.coalesce(F.sum(F.when(F.col("n") > 0, F.col("n"))), F.lit(0)).alias("missing"), F.coalesce(F.sum(F.when(F.col("n") < 0, -F.col("n"))), F.lit(0)).alias("extra"))
 
 
 def family_is_snapshots(posting: DataFrame) -> DataFrame:
     """A term's family has its distinct snapshots: from the snapshots, and from the timeline."""
     snaps = pools.snapshots(posting)
-    direct = snaps.select("term", "masters").distinct()
+    direct = ordering.dealt(snaps.select("term", "masters"), "term").distinct()
     return _differ(direct, timeline.timeline(snaps).filter(F.size("masters") > 0).select("term", "masters").distinct(), ["term", "masters"])
 
 

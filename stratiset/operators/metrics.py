@@ -123,7 +123,8 @@ def family_nodes(sets: DataFrame, key: str, column: str, descending: bool = True
     rows = sets.select(F.col(key).alias("__k"), (F.reverse(order) if descending else order).alias("__s")).distinct()
     # one row more than there are items: a set also ends
     a, b = _digest("__k", "__s")
-    rows = rows.select("__k", a.alias("sa"), b.alias("sb"), F.posexplode(F.concat("__s", F.array(F.lit(None)))).alias("at", "item"))
+    rows = ordering.dealt(rows.select("__k", a.alias("sa"), b.alias("sb"), "__s"), "__k", "sa", "sb")
+    rows = rows.select("__k", "sa", "sb", F.posexplode(F.concat("__s", F.array(F.lit(None)))).alias("at", "item"))
     own = Window.partitionBy("__k", "sa", "sb")
     upto = own.orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     nothing = F.lit(0).cast("bigint")
@@ -133,7 +134,7 @@ def family_nodes(sets: DataFrame, key: str, column: str, descending: bool = True
     ends = [F.col(f"w{k}").bitwiseXOR(F.col(f"p{k}")) for k in (0, 1)]
     nexts = cut.groupBy("__k", "p0", "p1", "item").agg(*(F.bit_xor(d).alias(f"e{k}") for k, d in enumerate(_digest(*ends))))
     after = Window.partitionBy("__k", "p0", "p1").orderBy(F.col("item").asc_nulls_first() if descending else F.col("item").desc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    nodes = nexts.select("__k", "item", *(F.bit_xor(f"e{k}").over(after).alias(f"e{k}") for k in (0, 1))).distinct()
+    nodes = ordering.dealt(nexts, "__k", "p0", "p1").select("__k", "item", *(F.bit_xor(f"e{k}").over(after).alias(f"e{k}") for k in (0, 1))).distinct()
     return nodes.groupBy(F.col("__k").alias(key)).agg(F.count("item").alias("n_nodes"))
 
 

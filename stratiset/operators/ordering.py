@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WIDTH = 1 << 16
+#: Bytes of the files read, for each partition that :func:`dealt` makes beyond Spark's number of them.
+DEAL = 1 << 23
 
 
 def _order(cols: Sequence[Column | str]) -> list[Column]:
@@ -150,3 +152,17 @@ def spread(df: DataFrame) -> DataFrame:
         return df  # it is shuffled already, and to ask for its partitions would run that
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt by keys to Spark's number of shuffle partitions, or more where large files ask for more.
+
+    A task of a window or grouping holds its rows, unpacked, for sorting and hashing at once. Shuffles that Spark sizes
+    itself are merged to 64 MB of packed rows a task, which are gigabytes there; these are not merged.
+    """
+    spark = df.sparkSession
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(k).stats().sizeInBytes()) for k in range(leaves.size())]
+    # of what is no file the size is unknown and huge
+    n = sum(x for x in sizes if x < 1 << 60) // DEAL
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), n), *keys)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ordering
+
 
 def timeline(snaps: DataFrame, value: str = "masters") -> DataFrame:
     """(term, ver, value): where the set changes.
@@ -14,7 +16,7 @@ def timeline(snaps: DataFrame, value: str = "masters") -> DataFrame:
     one row a version, so a window holds no more rows than there are versions.
     """
     w = Window.partitionBy("term").orderBy("rel")
-    rows = snaps.select("term", "rel", value, F.lag("rel").over(w).alias("p"), F.lag(value).over(w).alias("q"), F.lead("rel").over(w).alias("n"))
+    rows = ordering.dealt(snaps.select("term", "rel", value), "term").select("term", "rel", value, F.lag("rel").over(w).alias("p"), F.lag(value).over(w).alias("q"), F.lead("rel").over(w).alias("n"))
     begins = F.col("p").isNull() | (F.col("rel") > F.col("p") + 1) | ~F.col(value).eqNullSafe(F.col("q"))
     ends = F.col("n").isNull() | (F.col("n") > F.col("rel") + 1)
     kind = dict(snaps.dtypes)[value]
@@ -45,5 +47,5 @@ def as_of(points: DataFrame, asked: DataFrame, value: str = "masters") -> DataFr
     p = points.select("term", "ver", F.lit(0).alias("side"), value, F.lit(None).cast("boolean").alias("q"))
     q = asked.select("term", "ver").distinct().select("term", "ver", F.lit(1).alias("side"), F.lit(None).cast(dict(points.dtypes)[value]).alias(value), F.lit(True).alias("q"))
     w = Window.partitionBy("term").orderBy("ver", "side").rowsBetween(Window.unboundedPreceding, 0)
-    found = p.unionByName(q).withColumn(value, F.last(value, ignorenulls=True).over(w)).filter("q").select("term", "ver", value)
+    found = ordering.dealt(p.unionByName(q), "term").withColumn(value, F.last(value, ignorenulls=True).over(w)).filter("q").select("term", "ver", value)
     return asked.select("term", "ver").join(found, ["term", "ver"], "left")

@@ -336,3 +336,15 @@ def test_small_scans_are_spread_and_shuffled_tables_left(spark, data):
     assert docs.rdd.getNumPartitions() < cores == ordering.spread(docs).rdd.getNumPartitions()
     for df in (docs.groupBy("doc_id").count(), spark.range(0, 100, 1, 2 * cores)):
         assert ordering.spread(df) is df
+
+
+def test_windows_hold_their_share_of_the_rows(spark, hola):
+    """Shuffles before windows and groupings of unpacked rows are not merged, however small they look packed."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    snaps = pools.snapshots(hola)
+    points = timeline.timeline(snaps)
+    assert points.rdd.getNumPartitions() == n
+    assert timeline.expand(points).rdd.getNumPartitions() == n
+    plan = metrics.family_nodes(snaps, "term", "masters")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 2
+    assert rows(checks.family_is_snapshots(hola), "missing", "extra") == rows(checks.timeline_is_posting(hola), "missing", "extra") == [(0, 0)]
