@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .functions import text as T
+from .operators import ordering
 
 
 def posting(df: DataFrame, term: Column | str, master: Column | str, rel: Column | str) -> DataFrame:
@@ -20,7 +21,9 @@ def posting(df: DataFrame, term: Column | str, master: Column | str, rel: Column
 
 
 def from_conversations(conversations: DataFrame) -> DataFrame:
-    words = conversations.select(F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("word"), "conv_id", "turn")
+    # a file packs many texts that repeat, and would be cut into words by one task
+    turns = ordering.dealt(conversations.select("text", "conv_id", "turn"))
+    words = turns.select(F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("word"), "conv_id", "turn")
     return posting(words, "word", "conv_id", "turn")
 
 

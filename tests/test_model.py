@@ -348,3 +348,10 @@ def test_windows_hold_their_share_of_the_rows(spark, hola):
     plan = metrics.family_nodes(snaps, "term", "masters")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("REPARTITION_BY_NUM") == 2
     assert rows(checks.family_is_snapshots(hola), "missing", "extra") == rows(checks.timeline_is_posting(hola), "missing", "extra") == [(0, 0)]
+
+
+def test_texts_of_one_file_are_cut_by_many_tasks(spark, tmp_path):
+    spark.range(40).selectExpr("id AS conv_id", "id % 3 AS turn", "'some words' AS text").coalesce(1).write.parquet(str(tmp_path / "c"))
+    found = model.from_conversations(spark.read.parquet(str(tmp_path / "c")))
+    assert "RoundRobinPartitioning" in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 80
